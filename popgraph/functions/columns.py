@@ -44,3 +44,7 @@ def top_n_global(df: DataFrame, order, n: int, rank: str = "rnk") -> DataFrame:
     """First n rows of the whole table with their position; only n rows reach the ranking task."""
     short = df.orderBy(*order).limit(n)
     return short.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
+def row_count(name: str = "cnt") -> Column:
+    return F.count(F.lit(1)).alias(name)
