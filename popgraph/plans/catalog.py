@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from popgraph.plans import base_views, build_plans, population_plans  # noqa: F401
+from popgraph.plans import base_views, build_plans, graph_plans, population_plans  # noqa: F401
 from popgraph.plans.registry import oracle_sql, queries  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import blank_to_null, null_to_blank
-from popgraph.operators import model, prep
+from popgraph.operators import knn, model, prep
 from popgraph.schema import COUNTRY, NOT_APPLICABLE, PERSONA_TEXTS
 from popgraph.session import tune
 
@@ -196,3 +196,31 @@ class Tables:
     @cached_property
     def nodes(self) -> DataFrame:
         return model.nodes(self.persons, self.hobbies, self.skills)
+
+    @cached_property
+    def similar(self) -> DataFrame:
+        """Stored similarity: five nearest persons by vector."""
+        return knn.neighbours(self.vectors.select("uuid", "embedding"), 5)
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Community of each person that has a vector."""
+        return self.vectors.select("uuid", F.col("label").alias("community_id"))
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        """The whole projection, both directions of every edge."""
+        return model.undirected(self.edges).select("src", "dst")
+
+    @cached_property
+    def hobby_graph(self) -> DataFrame:
+        return model.undirected(self.edges, ["ENJOYS_HOBBY"]).select("src", "dst")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Events read as a run log: one job per user, errors are failed runs."""
+        return self.raw("events").select(
+            F.col("user_id").cast("string").alias("key"),
+            F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"),
+            F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"),
+        )
