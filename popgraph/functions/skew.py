@@ -33,16 +33,22 @@ def replicate(nodes: DataFrame, salts_col: str = "n_salts") -> DataFrame:
     ).drop(salts_col)
 
 
-def hashed_row_number(df: DataFrame, keys: list[str], order_hash: Column, out: str) -> DataFrame:
+def hashed_row_number(
+    df: DataFrame, keys: list[str], order_hash: Column, out: str, total: str | None = None
+) -> DataFrame:
     """row_number() over keys in the order of a hex hash, without one task per key.
 
     The first two hex digits cut each key into 256 even buckets; the position is the number of
-    rows in the key's earlier buckets plus the position inside the bucket.
+    rows in the key's earlier buckets plus the position inside the bucket. `total` adds the key's
+    row count.
     """
     rows = df.withColumn("__h", order_hash).withColumn("__b", F.substring("__h", 1, 2))
     sizes = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("__n")
     inside = Window.partitionBy(*keys, "__b").orderBy("__h")
     return (
         rows.withColumn("__i", F.row_number().over(inside))
@@ -74,3 +80,20 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str) -> DataFrame:
         .withColumn(out, F.col("__pos") + F.col("__start"))
         .drop("__part", "__pos", "__start")
     )
+
+
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def join_measured(big: DataFrame, small: DataFrame, key: str, spread_by: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a table that is usually small: broadcast when its counted size allows it.
+
+    Broadcasting leaves `big` partitioned as it was, so a following aggregation by that partitioning
+    needs no shuffle. A larger table is joined on (key, salt) instead, hot keys spread over salts.
+    """
+    small = cut_lineage(small)
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), key)
+    salts = salted_counts(big, [key])
+    left = spread(big, key, spread_by, salts)
+    return left.join(replicate(small.join(salts, key)), [key, "salt"]).drop("salt")

@@ -140,19 +140,13 @@ def removal_impact(adj: DataFrame, targets: list[str], depth: int, communities:
         )
     nodes = cut_lineage(k_hop(adj, seeds, depth))
     links = cut_lineage(induced(adj, nodes))
-    before = largest_component_ratio(nodes, links).select(F.col("ratio").alias("original"))
-    after = largest_component_ratio(nodes, links, wanted).select(F.col("ratio").alias("current"))
-    hit = (
-        communities.join(F.broadcast(wanted), "node", "left_semi").agg(
-            F.array_join(F.sort_array(F.collect_set("community_id")), ",").alias("affected_communities")
-        )
-        if communities is not None
-        else spark.createDataFrame([("",)], "affected_communities string")
-    )
-    return before.join(F.broadcast(after)).join(F.broadcast(hit)).select(
-        F.lit(True).alias("path_found"), "original", "current",
-        F.round(F.greatest(F.col("original") - F.col("current"), F.lit(0.0)), 4).alias("fragmentation"),
-        "affected_communities",
+    before = largest_component_ratio(nodes, links).first()["ratio"]
+    after = largest_component_ratio(nodes, links, wanted).first()["ratio"]
+    hit = communities.where(F.col("node").isin(targets)).select("community_id").distinct() if communities is not None else None
+    affected = ",".join(sorted(str(r[0]) for r in hit.collect())) if hit is not None else ""
+    return spark.createDataFrame(
+        [(True, before, after, round(max(before - after, 0.0), 4), affected)],
+        "path_found boolean, original double, current double, fragmentation double, affected_communities string",
     )
 
 

@@ -65,12 +65,8 @@ def ranked_items(counts: DataFrame, top_k: int, matched: DataFrame) -> DataFrame
     if not 3 <= top_k <= 30:
         raise ValueError("top_k must be between 3 and 30")
     top = top_n_global(counts, [F.desc("cnt"), F.asc("name")], top_k)
-    size = matched.agg(F.count(F.lit(1)).alias("__total"))
-    return (
-        top.where(F.col("name").isNotNull() & (F.col("name") != ""))
-        .join(F.broadcast(size))
-        .select("name", "cnt", ratio(F.col("cnt"), F.col("__total")).alias("ratio"))
-    )
+    named = top.where(F.col("name").isNotNull() & (F.col("name") != ""))
+    return named.select("name", "cnt", ratio(F.col("cnt"), F.lit(matched.count())).alias("ratio"))
 
 
 def goal_counts(people: DataFrame, texts: DataFrame) -> DataFrame:
@@ -174,36 +170,25 @@ def representative_traits(counts: DataFrame, n: int = 5) -> DataFrame:
     return top_n_global(counts, [F.desc("cnt"), F.asc("name")], n)
 
 
-def _joined(top: DataFrame, out: str) -> DataFrame:
-    names = F.transform(F.sort_array(F.collect_list(F.struct("rnk", "name"))), lambda x: x["name"])
-    return top.agg(F.array_join(names, ", ").alias(out))
-
-
 def representative_text(filters: dict[str, str], sample: DataFrame, hobbies: DataFrame, skills: DataFrame) -> DataFrame:
-    """Deterministic group profile from at most ten sample rows and five traits each, with evidence."""
-    evidence = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "uuid"))), lambda x: x["uuid"]), ",")
-    core = F.min_by("persona", "pos")
-    one = (
-        sample.agg(evidence.alias("evidence_uuids"), core.alias("__core"), F.count(F.lit(1)).alias("sample_size"))
-        .join(F.broadcast(_joined(hobbies, "__hobbies"))).join(F.broadcast(_joined(skills, "__skills")))
-    )
+    """Deterministic group profile with evidence; the inputs are at most ten sample rows and five traits each."""
+    people = sorted(sample.select("pos", "uuid", "persona").collect())
+    names = [", ".join(r["name"] for r in sorted(t.select("rnk", "name").collect())) for t in (hobbies, skills)]
     condition = ", ".join(f"{k}={v}" for k, v in filters.items())
-
-    def part(prefix, c):
-        return F.when(F.col(c) != "", F.concat(F.lit(prefix), F.col(c)))
-
-    text = F.concat_ws(
-        " ", F.lit(f"조건({condition})에 맞는 페르소나 집합의 대표 프로필입니다."),
-        part("핵심 성향: ", "__core"), part("주요 취미: ", "__hobbies"), part("주요 스킬: ", "__skills"),
+    evidence = ",".join(r["uuid"] for r in people)
+    if people:
+        parts = [f"조건({condition})에 맞는 페르소나 집합의 대표 프로필입니다."]
+        facts = [("핵심 성향", people[0]["persona"]), ("주요 취미", names[0]), ("주요 스킬", names[1])]
+        text = " ".join(parts + [f"{label}: {value}" for label, value in facts if value])
+    else:
+        text = "조건에 맞는 페르소나가 없어 대표 프로필을 생성할 수 없습니다."
+    prompt = (
+        f"조건 기반 대표 페르소나를 한국어 3~5문장으로 합성하세요. 필터={condition}. 대표 취미={names[0]}. "
+        f"대표 스킬={names[1]}. 근거 샘플={evidence}."
     )
-    return one.select(
-        "sample_size", "evidence_uuids",
-        F.when(F.col("sample_size") > 0, text)
-        .otherwise("조건에 맞는 페르소나가 없어 대표 프로필을 생성할 수 없습니다.").alias("representative_text"),
-        F.format_string(
-            "조건 기반 대표 페르소나를 한국어 3~5문장으로 합성하세요. 필터=%s. 대표 취미=%s. 대표 스킬=%s. 근거 샘플=%s.",
-            F.lit(condition), "__hobbies", "__skills", "evidence_uuids",
-        ).alias("prompt"),
+    return sample.sparkSession.createDataFrame(
+        [(len(people), evidence, text, prompt)],
+        "sample_size long, evidence_uuids string, representative_text string, prompt string",
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from popgraph.functions.columns import blank_to_null, null_to_blank
 from popgraph.operators import knn, model, prep
+from popgraph.operators.workspace import Workspace
 from popgraph.schema import COUNTRY, NOT_APPLICABLE, PERSONA_TEXTS
 from popgraph.session import tune
 
@@ -147,6 +148,27 @@ class Tables:
             ).alias("embedding_text"),
         )
 
+    @cached_property
+    def demographics(self) -> DataFrame:
+        """Contexts without the text columns, for plans that read none."""
+        same = ["age_group", "sex", "occupation", "district", "province", "family_type", "housing_type", "education_level"]
+        return self.persons.select(F.col("uuid").alias("person_uuid"), *[null_to_blank(F.col(c)).alias(c) for c in same])
+
+    @cached_property
+    def reco(self) -> Workspace:
+        return Workspace(self.hobbies, self.demographics)
+
+    @cached_property
+    def raw_hobbies(self) -> DataFrame:
+        """Hobby names as first written: (uuid, raw) with odd spacing and case."""
+        rows = self._lines(F.col("l_quantity") >= HOBBY_MIN_QUANTITY).join(
+            self.raw("part"), F.col("l_partkey") == F.col("p_partkey")
+        )
+        spelling = F.when(F.col("l_linenumber") % 3 == 0, F.upper("p_name")).when(
+            F.col("l_linenumber") % 3 == 1, F.concat(F.lit(" "), F.regexp_replace("p_name", " ", "  "))
+        ).otherwise(F.concat("p_name", F.lit(" "), F.lower("p_type")))
+        return rows.select(F.col("o_custkey").cast("string").alias("uuid"), spelling.alias("raw")).distinct()
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.raw("embeddings").select(
