@@ -91,7 +91,6 @@ def join_measured(big: DataFrame, small: DataFrame, key: str, spread_by: str, ma
     Broadcasting leaves `big` partitioned as it was, so a following aggregation by that partitioning
     needs no shuffle. A larger table is joined on (key, salt) instead, hot keys spread over salts.
     """
-    small = cut_lineage(small)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), key)
     salts = salted_counts(big, [key])

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, top_n
@@ -195,24 +195,34 @@ def normalize_scores(candidates: DataFrame, method: str = "rank_percentile") ->
     return ranked.withColumn("score", score)
 
 
-def provider_order(order: list[str], c: str = "provider") -> Column:
-    out = F.lit(999)
+def merge(normalized: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """One row per person and item: best of the providers in `order`, all their scores; k items per person.
+
+    One maximum per provider keeps the aggregation in fixed-width columns (hash aggregation in generated
+    code); the score maps are put together afterwards.
+    """
+    _check(k)
+    of = {p: F.col("provider") == p for p in order}
+    grouped = normalized.where(F.col("provider").isin(order)).groupBy("uuid", "item").agg(
+        *[F.max(F.when(c, F.col("score"))).alias(f"s_{p}") for p, c in of.items()],
+        *[F.max(F.when(c, F.col("raw_score"))).alias(f"r_{p}") for p, c in of.items()],
+    )
+    best = F.greatest(*[F.col(f"s_{p}") for p in order]) if len(order) > 1 else F.col(f"s_{order[0]}")
+    winner = F.lit(len(order))
     for i, p in reversed(list(enumerate(order))):
-        out = F.when(F.col(c) == p, i).otherwise(out)
-    return out
+        winner = F.when(F.col(f"s_{p}") == F.col("score"), i).otherwise(winner)
+    rows = grouped.withColumn("score", best).withColumn("ord", winner)
+    top = top_n(rows, ["uuid"], [F.desc("score"), F.asc("ord"), F.asc("item")], k)
+    names = F.array(*[F.lit(p) for p in order])
 
+    def scores(prefix):
+        pairs = F.create_map(*[x for p in order for x in (F.lit(p), F.col(f"{prefix}_{p}"))])
+        return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
-def merge(normalized: DataFrame, k: int, order: list[str]) -> DataFrame:
-    """One row per person and item: best provider, all normalised and raw scores; k items per person."""
-    _check(k)
-    best = F.min(F.struct((-F.col("score")).alias("neg"), provider_order(order).alias("ord"), "provider", "score", "raw_score")).alias("b")
-    scores = F.map_from_entries(F.collect_list(F.struct("provider", "score")))
-    raws = F.map_from_entries(F.collect_list(F.struct("provider", "raw_score")))
-    grouped = normalized.groupBy("uuid", "item").agg(best, scores.alias("source_scores"), raws.alias("raw_scores"))
-    top = top_n(grouped, ["uuid"], [F.asc("b.neg"), F.asc("b.ord"), F.asc("item")], k)
+    raw = F.get(F.array(*[F.col(f"r_{p}") for p in order]), F.col("ord"))
     return top.select(
-        "uuid", "item", F.col("b.provider").alias("provider"), F.col("b.score").alias("score"),
-        F.col("b.raw_score").alias("raw_score"), "source_scores", "raw_scores", "rnk",
+        "uuid", "item", F.get(names, F.col("ord")).alias("provider"), "score", raw.alias("raw_score"),
+        scores("s").alias("source_scores"), scores("r").alias("raw_scores"), "rnk",
     )
 
 

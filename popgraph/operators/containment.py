@@ -1,0 +1,42 @@
+"""Which texts contain which reference passages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+WORDS = 4
+
+
+def contained_texts(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(doc_id, item_id) of exact containments.
+
+    A passage is looked up by a run of words from its inside, which a containing text must have as a
+    run of its own; only pairs that share the run are compared as whole texts. The run is taken after
+    the first word and before the last, because those may be cut inside a word of the longer text.
+    Passages shorter than that are compared by one inner word, or directly when they have none.
+    """
+    def words(c):
+        return F.split(c, r"\s+")
+
+    w = words(F.col(item_text))
+    inner = F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    keyed = items.select(F.col(item_id), F.col(item_text).alias("__item"), inner.alias("__w"))
+    run = F.array_join(F.slice("__w", 1, WORDS), " ")
+    keyed = keyed.withColumn("__n", F.least(F.size("__w"), F.lit(WORDS))).withColumn("__key", run)
+    lengths = [r[0] for r in keyed.select("__n").distinct().collect()]
+    d = words(F.col(doc_text))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1)))
+    found = None
+    for n in lengths:
+        part = keyed.where(F.col("__n") == n)
+        if n == 0:
+            pairs = docs.join(part, F.contains(F.col(doc_text), F.col("__item")))
+        else:
+            grams = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(d, i, n), " ")))
+            pairs = docs.select(doc_id, doc_text, F.explode(grams).alias("__key")).join(part, "__key").where(
+                F.contains(F.col(doc_text), F.col("__item"))
+            )
+        rows = pairs.select(doc_id, item_id).distinct()
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -136,7 +136,7 @@ def sample_negative(positives: DataFrame, full_known: DataFrame, items: DataFram
 def training_triples(triples: DataFrame, batch_size: int, seed: int = 42) -> DataFrame:
     """Triples in seeded order with their batch number."""
     keyed = triples.withColumn("__h", shuffle_key("uuid", "item", seed=seed + 1))
-    return dense_index(keyed, ["__h"], "pos").withColumn("batch", F.floor(F.col("pos") / batch_size)).drop("__h", "pos")
+    return dense_index(keyed, ["__h"], "pos").withColumn("batch", F.floor(F.col("pos") / batch_size)).drop("__h")
 
 
 def demographic_key(field: str, value: Column) -> Column:

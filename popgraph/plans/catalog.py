@@ -4,6 +4,7 @@ from popgraph.plans import (  # noqa: F401
     base_views,
     build_plans,
     graph_plans,
+    learning_plans,
     population_plans,
     reco_plans,
 )

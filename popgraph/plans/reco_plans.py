@@ -227,7 +227,7 @@ def _(t):
     return t.reco.cooc
 
 
-_CAND = "SELECT uuid, item, provider, round(raw_score, 6) AS raw_score FROM q_c_{}"
+_CAND = "SELECT uuid, item, provider, raw_score FROM q_c_{}"
 for _key, _prov in [
     ("CP02_popularity", "popularity"), ("CP04_cooccurrence", "cooccurrence"), ("CP06_segment_popularity", "segment_popularity"),
     ("CP08_bm25", "bm25"), ("CP10_idf_cooccurrence", "idf_cooccurrence"), ("CP12_pop_capped", "pop_capped"), ("CP14_jaccard", "jaccard"), ("CP16_pmi", "pmi"),
@@ -235,7 +235,7 @@ for _key, _prov in [
     def _provider(key=_key, prov=_prov):
         @plan(key, _CAND.format(prov))
         def _(t):
-            return rounded(t.reco.provider(prov), "raw_score")
+            return t.reco.provider(prov)
     _provider()
 
 for _key, _kind in [("CP07_bm25_weights", "bm25"), ("CP09_idf_weights", "idf_cooccurrence"), ("CP11_pop_capped_weights", "pop_capped"), ("CP13_jaccard_weights", "jaccard"), ("CP15_pmi_weights", "pmi")]:
@@ -445,23 +445,23 @@ def _(t):
     return rounded(built.select("uuid", "item", "text_embedding_similarity"), "text_embedding_similarity")
 
 
-@plan("RR01_linear_score", "SELECT uuid, item, round(score, 6) AS score FROM q_rerank")
+@plan("RR01_linear_score", "SELECT uuid, item, score FROM q_rerank")
 def _(t):
-    return t.reco.pool_features.select("uuid", "item", F.round(features.linear_score(), 6).alias("score"))
+    return t.reco.pool_features.select("uuid", "item", F.round(features.linear_score(), 9).alias("score"))
 
 
-@plan("RR03_rerank", "SELECT uuid, item, round(score, 6) AS score, CAST(rnk AS INTEGER) AS rnk FROM q_rerank")
+@plan("RR03_rerank", "SELECT uuid, item, score, CAST(rnk AS INTEGER) AS rnk FROM q_rerank")
 def _(t):
-    return rounded(t.reco.reranked.select("uuid", "item", "score", "rnk"), "score")
+    return t.reco.reranked.select("uuid", "item", "score", "rnk")
 
 
-@plan("RR04_stage1_fallback", """SELECT uuid, item, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY uuid ORDER BY score DESC, item) AS INTEGER) AS rnk FROM (
+@plan("RR04_stage1_fallback", """SELECT uuid, item, score, CAST(row_number() OVER (PARTITION BY uuid ORDER BY score DESC, item) AS INTEGER) AS rnk FROM (
   SELECT r.uuid, r.item, CASE WHEN p.sex = '여자' THEN r.score ELSE round(greatest(COALESCE(s_pop, 0), COALESCE(s_cooc, 0)), 9) END AS score FROM q_rerank r JOIN q_persons p ON p.uuid = r.uuid)""")
 def _(t):
     w = t.reco
     some = t.demographics.where(F.col("sex") == "여자")
     built = features.build(w.pool, some, w.train, w.item_profile)
-    return rounded(features.rerank(built).select("uuid", "item", "score", "rnk"), "score")
+    return features.rerank(built).select("uuid", "item", "score", "rnk")
 
 
 @plan("RR05_category_resort")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import threading
 import time
 import traceback
 
@@ -13,6 +14,7 @@ import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+SQL_LIMIT = 40
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -57,8 +59,13 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sql is None:
         return "rows", len(got), took, ""
     t0 = time.time()
-    rel = con.sql(sql)
-    want, names = rel.fetchall(), rel.columns
+    timer = threading.Timer(SQL_LIMIT, con.interrupt)
+    timer.start()
+    try:
+        rel = con.sql(sql)
+        want, names = rel.fetchall(), rel.columns
+    finally:
+        timer.cancel()
     took_sql = time.time() - t0
     if sorted(df.columns) != sorted(names):
         return "COLUMNS", len(got), took, f"{sorted(df.columns)} vs {sorted(names)}"
@@ -71,7 +78,8 @@ def compare(spark, con, name, fn, sql, sf_dir):
         note += " types " + ",".join(odd)
     if a == b:
         return ("ok" if a else "EMPTY"), len(got), took, note
-    extra, lack = [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]
+    sa, sb = set(a), set(b)
+    extra, lack = [x for x in a if x not in sb][:3], [x for x in b if x not in sa][:3]
     return "DIFF", len(got), took, f"{len(a)} vs {len(b)} spark-only {extra} sql-only {lack}"
 
 
@@ -85,7 +93,14 @@ def main():
     con = oracle(sf_dir)
     sqls = entry.oracle_sql()
     bad = 0
-    for name, fn in entry.queries().items():
+    plans = entry.queries()
+    if os.environ.get("SHARE"):  # one set of tables for all plans: faster, same results
+        from popgraph.plans.registry import PLANS
+        from popgraph.sources.tables import Tables
+
+        shared = Tables(spark, sf_dir)
+        plans = {n: (lambda s, d, p=p: p(shared)) for n, p in PLANS.items()}
+    for name, fn in plans.items():
         if not pattern.search(name):
             continue
         try:
