@@ -82,6 +82,17 @@ def dense_index(df: DataFrame, order_cols: list[str], out: str) -> DataFrame:
     )
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that a following join multiplies.
+
+    The explicit partition number keeps adaptive execution from packing them, small as they still
+    are, into a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 MAX_BROADCAST_ROWS = 2_000_000
 
 

@@ -42,9 +42,11 @@ def degree(adj: DataFrame) -> DataFrame:
     return adj.groupBy(F.col("src").alias("node")).agg(row_count("degree"))
 
 
-def pagerank(adj: DataFrame, iterations: int = 20, damping: float = 0.85, keep_every: int = 5) -> DataFrame:
+def pagerank(
+    adj: DataFrame, iterations: int = 20, damping: float = 0.85, keep_every: int = 5, rows_per_salt: int = HOT_ROWS
+) -> DataFrame:
     """Un-normalised PageRank: (1-d) + d * sum of rank/degree over neighbours."""
-    g = Graph(adj)
+    g = Graph(adj, rows_per_salt)
     ranks = g.nodes.select("node", "degree", F.lit(1 - damping).alias("rank"))
     for i in range(iterations):
         share = g.send(ranks.select("node", (F.col("rank") / F.col("degree")).alias("share")))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, top_n
-from popgraph.functions.skew import join_measured
+from popgraph.functions.skew import by_key, join_measured
 from popgraph.operators.interactions import popularity, popularity_ranks
 
 SEGMENT_FIELDS = ["age_group", "occupation", "province", "district", "family_type", "housing_type", "education_level"]
@@ -70,7 +70,7 @@ def item_item(known: DataFrame, weights: DataFrame, items: DataFrame, provider:
     _check(k)
     self_rows = items.select(F.col("item").alias("src"), F.col("item").alias("dst"), F.lit(0.0).alias("w"))
     table = weights.unionByName(self_rows).withColumnRenamed("src", "item")
-    rows = join_measured(known.select("uuid", "item").repartition("uuid"), table, "item", "uuid")
+    rows = join_measured(by_key(known.select("uuid", "item"), "uuid"), table, "item", "uuid")
     # scores that differ only by summation order count as equal, so ties go by item
     scored = rows.groupBy("uuid", "dst").agg(
         F.round(F.sum("w"), 9).alias("raw_score"), F.max(F.col("item") == F.col("dst")).alias("is_known")
@@ -130,7 +130,7 @@ def segment_candidates(contexts: DataFrame, known: DataFrame, histogram: DataFra
     people = contexts.select(F.col("person_uuid").alias("uuid"), F.explode(asks).alias("ask"))
     have = known.select("uuid", F.concat(F.lit("known="), "item").alias("ask"))
     have = have.join(contexts.select(F.col("person_uuid").alias("uuid")), "uuid", "left_semi")
-    rows = join_measured(people.unionByName(have).repartition("uuid"), table, "ask", "uuid")
+    rows = join_measured(by_key(people.unionByName(have), "uuid"), table, "ask", "uuid")
     scored = rows.groupBy("uuid", "item").agg(F.sum("w").alias("raw_score"), F.max("known").alias("is_known"))
     rounded = scored.where(~F.col("is_known")).withColumn("raw_score", F.round("raw_score", 9))
     return _tag(rounded.where(F.col("raw_score") > 0), "segment_popularity", k)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key, top_n
-from popgraph.functions.skew import dense_index, hashed_row_number, join_measured
+from popgraph.functions.skew import by_key, dense_index, hashed_row_number, join_measured
 from popgraph.schema import PROFILE_FIELDS
 
 
@@ -69,7 +69,7 @@ def cooccurrence(train: DataFrame, chunk: int = CHUNK) -> DataFrame:
     lists = rows.groupBy("uuid", "n_chunks", "chunk").agg(F.collect_list("item").alias("items"))
     left = lists.select("uuid", F.col("items").alias("a"), "chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("other"))
     right = lists.select("uuid", F.col("items").alias("b"), F.col("chunk").alias("other"))
-    met = left.join(right, ["uuid", "other"])
+    met = by_key(left, "uuid", "other").join(by_key(right, "uuid", "other"), ["uuid", "other"])
     pairs = met.select(F.explode("a").alias("src"), "b").select("src", F.explode("b").alias("dst"))
     return pairs.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(row_count("c"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import shuffle_key
-from popgraph.functions.skew import replicate, salted_counts
+from popgraph.functions.skew import salted_counts
 from popgraph.session import cut_lineage
 
 MAX_QUERIES = 10_000

@@ -8,14 +8,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count
+from popgraph.functions.vectors import lexical_similarity
 from popgraph.operators import conversation as conv
-from popgraph.operators import explain, features, interactions, knn, leakage, metrics, ranker, stats
+from popgraph.operators import explain, features, interactions, knn, leakage, ranker, stats
 from popgraph.operators import vocabulary as voc
 from popgraph.operators.filters import Segment, select_segment
 from popgraph.plans import reco_views as rv
 from popgraph.plans.graph_plans import _centroids
 from popgraph.plans.registry import plan, view
-from popgraph.plans.reco_plans import ALIASES, MIN_DEGREE, RULES, _aliases, _lex, _prepared, rounded
+from popgraph.plans.reco_plans import RULES, _aliases, _lex, _prepared, rounded
 from popgraph.session import cut_lineage
 from popgraph.sources import files
 from popgraph.streaming import sessions
@@ -369,16 +370,6 @@ def _(t):
     return leakage.audit(_pos(t), t.contexts)
 
 
-@plan("TL01_benchmark_mentions", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def _(t):
-    from popgraph.operators.containment import contained_texts
-
-    return contained_texts(t.raw("documents"), "doc_id", "text", t.raw("benchmark"), "item_id", "text")
-
-
-_MASKED = "regexp_replace({t}, '(^|[^\\w가-힣])(' || {n} || ')($|[^\\w가-힣])', '\\1[MASK]\\3', 'gi')"
-
-
 def _masks(t):
     names = leakage.with_aliases(t.reco.split.where(F.col("split") != "train"), t.spark.createDataFrame([], "raw string, canonical string"))
     texts = t.contexts.select(F.col("person_uuid").alias("uuid"), F.col("hobbies_text").alias("text"))
@@ -410,8 +401,6 @@ def _(t):
 @plan("TL05_gated_text_feature", f"""SELECT p.uuid, p.item, round(CASE WHEN NOT EXISTS (SELECT 1 FROM q_int i WHERE i.uuid = p.uuid AND split <> 'train' AND contains(lower(m.masked), lower(i.item))) THEN {_lex('m.masked', 'p.item')} ELSE 0 END, 6) AS similarity
 FROM q_pool p JOIN q_masked m ON m.uuid = p.uuid""")
 def _(t):
-    from popgraph.functions.vectors import lexical_similarity
-
     names, texts = _masks(t)
     m = leakage.masked_texts(names, texts)
     rows = t.reco.pool.select("uuid", "item").join(m, "uuid")

@@ -3,16 +3,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from popgraph.functions.columns import row_count, shuffle_key, top_n_global
+from popgraph.functions.columns import row_count, shuffle_key, top_n, top_n_global
+from popgraph.functions.vectors import lexical_similarity, vector_sums
 from popgraph.operators import candidates as cand
 from popgraph.operators import diversity, embedding, explain, features, interactions, metrics, ranker
 from popgraph.operators import vocabulary as voc
 from popgraph.operators.workspace import POOL_ORDER
 from popgraph.plans import reco_views as rv
 from popgraph.plans.registry import plan, view
+from popgraph.session import cut_lineage
+from popgraph.sources import files
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -137,8 +140,6 @@ def _(t):
 
 @plan("IO06_indexed_split_file", "SELECT split, count(*) AS cnt FROM q_int GROUP BY split")
 def _(t):
-    from popgraph.sources import files
-
     path = files.scratch_path(t.spark, "split")
     files.write_split(t.reco.split, path)
     return files.read_split(t.spark, path).groupBy("split").agg(row_count())
@@ -263,29 +264,20 @@ def _factors(t):
     """Vectors with a closed form: each item is its category one-hot plus popularity, a person the sum of its items."""
     items = embedding.category_vectors(categories(t), CATEGORIES)
     items = items.join(t.reco.pop, "item").select("item", F.concat("embedding", F.array(F.col("pop") / 1000.0)).alias("embedding"))
-    from popgraph.functions.vectors import vector_sums
-
     people = vector_sums(t.reco.train.join(items, "item"), ["uuid"], "embedding", len(CATEGORIES) + 1)
     return people, items
 
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-view("q_dot", """SELECT p.uuid, i.item, round(sum(n.same) + p.pop * i.pop / 1000.0::DOUBLE, 9) AS s FROM
-  (SELECT uuid, sum(r.pop) / 1000.0::DOUBLE AS pop FROM q_train t JOIN q_pop r ON r.item = t.item GROUP BY uuid) p
-  CROSS JOIN (SELECT r.item, r.pop, x.category FROM q_pop r JOIN q_items x ON x.item = r.item) i
-  LEFT JOIN (SELECT t.uuid, x.category, count(*) AS same FROM q_train t JOIN q_items x ON x.item = t.item JOIN q_pop r ON r.item = t.item GROUP BY t.uuid, x.category) n
-    ON n.uuid = p.uuid AND n.category = i.category GROUP BY p.uuid, i.item, p.pop, i.pop""")
-
-
 @plan("CP17_embedding_candidates", """SELECT uuid, item, round(s, 6) AS raw_score FROM (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY s DESC, item) AS rn FROM
-  (SELECT uuid, item, round(COALESCE(s, 0), 9) AS s FROM q_dot0) d WHERE NOT EXISTS (SELECT 1 FROM q_train t WHERE t.uuid = d.uuid AND t.item = d.item)) WHERE rn <= 20""")
+  (SELECT uuid, item, round(s, 9) AS s FROM q_dot) d WHERE NOT EXISTS (SELECT 1 FROM q_train t WHERE t.uuid = d.uuid AND t.item = d.item)) WHERE rn <= 20""")
 def _(t):
     people, items = _factors(t)
     hits = cand.embedding_candidates(people, items, t.reco.train, 20)
     return rounded(hits, "raw_score").select("uuid", "item", "raw_score")
 
 
-view("q_dot0", """SELECT p.uuid, i.item, COALESCE(n.same, 0) + p.pop * i.pop / 1000.0::DOUBLE AS s FROM
+view("q_dot", """SELECT p.uuid, i.item, COALESCE(n.same, 0) + p.pop * i.pop / 1000.0::DOUBLE AS s FROM
   (SELECT uuid, sum(r.pop) / 1000.0::DOUBLE AS pop FROM q_train t JOIN q_pop r ON r.item = t.item GROUP BY uuid) p
   CROSS JOIN (SELECT r.item, r.pop, x.category FROM q_pop r JOIN q_items x ON x.item = r.item) i
   LEFT JOIN (SELECT t.uuid, x.category, count(*) AS same FROM q_train t JOIN q_items x ON x.item = t.item GROUP BY t.uuid, x.category) n
@@ -322,8 +314,6 @@ def _summary(t, recs, truth="validation", **kw):
 
 
 def _ranked(c):
-    from pyspark.sql import Window
-
     return c.withColumn("rnk", F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("raw_score"), F.asc("item"))))
 
 
@@ -424,8 +414,6 @@ def _(t):
 
 
 def _text_sim(t):
-    from popgraph.functions.vectors import lexical_similarity
-
     texts = t.contexts.select(F.col("person_uuid").alias("uuid"), "persona_text")
     return t.reco.pool.select("uuid", "item").join(texts, "uuid").select(
         "uuid", "item", lexical_similarity(F.col("persona_text"), F.col("item")).alias("similarity")
@@ -582,8 +570,6 @@ def _combo_sql(c):
 
 @plan("ME13_provider_ablation", " UNION ALL ".join(_combo_sql(c) for c in COMBOS))
 def _(t):
-    from popgraph.session import cut_lineage
-
     w = t.reco
     every = None
     for p in rv.ORACLE_PROVIDERS:
@@ -653,8 +639,6 @@ def sweep_weights(rows: DataFrame, truth: DataFrame, grid: list[dict], top: int,
     Only candidates that are in the truth need a position: it is one plus the number of the person's
     candidates with a better score, counted inside the person's list (a pool of bounded size).
     """
-    from pyspark.sql import Window
-
     scores = F.array(*[F.round(features.linear_score(g), 9) for g in grid])
     scored = rows.select("uuid", "item", F.posexplode(scores).alias("gid", "sc"))
     order = Window.partitionBy("uuid", "gid").orderBy(F.desc("sc"), F.asc("item"))
@@ -728,8 +712,6 @@ def _(t):
 
 @plan("AU06_category_counts", _audit_sql("SELECT category, CAST(count(*) AS BIGINT) AS freq, round(sum(-p * log2(p)) OVER (), 6) AS entropy FROM (SELECT category, count(*) AS c, count(*) / sum(count(*)) OVER () AS p FROM {src} s JOIN q_items i ON i.item = s.item GROUP BY category) GROUP BY category, p, c").replace("CAST(count(*) AS BIGINT) AS freq", "c AS freq"))
 def _(t):
-    from pyspark.sql import Window
-
     p = F.col("freq") / F.sum("freq").over(Window.partitionBy())
 
     def one(r):
@@ -753,8 +735,6 @@ def _(t):
 @plan("AU09_top_items_per_segment", " UNION ALL ".join(f"""SELECT '{f}' AS field, value, item, cnt, CAST(rn AS INTEGER) AS rnk FROM (SELECT {f} AS value, item, count(*) AS cnt, row_number() OVER (PARTITION BY {f} ORDER BY count(*) DESC, item) AS rn
 FROM q_a2 a JOIN q_persons p ON p.uuid = a.uuid GROUP BY {f}, item) WHERE rn <= 5""" for f in ("age_group", "occupation")))
 def _(t):
-    from popgraph.functions.columns import top_n
-
     tagged = _segments(t, _lists(t)["stage2"])
     counts = tagged.groupBy("field", "value", "item").agg(row_count())
     return top_n(counts, ["field", "value"], [F.desc("cnt"), F.asc("item")], 5)
@@ -863,8 +843,6 @@ def _(t):
 
 @plan("DV05_lambda_sweep")
 def _(t):
-    from popgraph.session import cut_lineage
-
     w = t.reco
     lists = cut_lineage(w.stage1)
     sweep = diversity.lambda_sweep(lists, _item_vectors(t), w.part("validation"), _n_items(t), w.pop, categories(t), (0.3, 0.5, 0.7, 0.9))
