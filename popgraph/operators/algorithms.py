@@ -240,7 +240,8 @@ def label_propagation(adj: DataFrame, rounds: int = 10) -> DataFrame:
     for i in range(rounds):
         counts = g.send(labels).groupBy(F.col("dst").alias("node"), "label").agg(row_count())
         best = counts.groupBy("node").agg(F.min(F.struct((-F.col("cnt")).alias("neg"), "label")).alias("b"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
+        even = F.substring(F.md5("node"), 1, 1).isin(list("02468ace"))
+        moves = even if i % 2 == 0 else ~even
         labels = cut_lineage(
             labels.join(best, "node", "left").select(
                 "node", F.when(moves, F.coalesce("b.label", "label")).otherwise(F.col("label")).alias("label")

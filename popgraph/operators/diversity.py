@@ -97,7 +97,7 @@ def lambda_sweep(lists, vectors, truth, n_items, pop, categories, lambdas, k: in
     out = None
     for lam in lambdas:
         now = metrics.summary(truth, mmr(lists, vectors, lam, k), n_items, pop, categories, ks=(k,))
-        rows = metrics.deltas(base, now).withColumn("lambda", F.lit(float(lam)))
+        rows = metrics.deltas(base, now).withColumn("lam", F.lit(float(lam)))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -107,12 +107,12 @@ def best_lambda(sweep: DataFrame, max_drop: float = 0.002) -> DataFrame:
     def d(m):
         return F.max(F.when(F.col("metric") == m, F.col("delta")))
 
-    per = sweep.groupBy("lambda").agg(
+    per = sweep.groupBy("lam").agg(
         d("recall").alias("recall"), d("catalog_coverage").alias("coverage"), d("novelty").alias("novelty"), d("intra_list_diversity").alias("ild")
     )
     gains = sum(((F.col(c) > 0).cast("int") for c in ("coverage", "novelty", "ild")), F.lit(0))
     ok = (F.col("recall") >= -max_drop) & (gains >= 2)
     score = F.when(ok, F.col("coverage") + F.col("ild"))
     ranked = per.withColumn("gains", gains).withColumn("score", score)
-    best = Window.orderBy(F.desc_nulls_last("score"), F.asc("lambda"))
+    best = Window.orderBy(F.desc_nulls_last("score"), F.asc("lam"))
     return ranked.withColumn("chosen", (F.row_number().over(best) == 1) & F.col("score").isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,26 +154,19 @@ def rerank(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 
 def category_resort(ranked: DataFrame, categories: DataFrame, reward: float, k: int = 50) -> DataFrame:
-    """Greedy order that rewards the first item of each category; a list has at most k rows."""
-    rows = ranked.where(F.col("rnk") <= k).select("uuid", "item", "score").join(categories.select("item", "category"), "item", "left")
+    """Greedy order that rewards the first item of each category, as two window passes.
 
-    def resort(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values("item").to_dict("records")
-        seen: set[str] = set()
-        out = []
-        while left:
-            def gain(r):
-                fresh = bool(r["category"]) and r["category"] not in seen
-                return (r["score"] + (reward if fresh else 0.0), fresh)
-
-            best = max(left, key=gain)
-            left.remove(best)
-            if best["category"]:
-                seen.add(best["category"])
-            out.append((best["uuid"], best["item"], float(best["score"]), len(out) + 1))
-        return pd.DataFrame(out, columns=["uuid", "item", "score", "rnk"])
-
-    return rows.groupBy("uuid").applyInPandas(resort, "uuid string, item string, score double, rnk int")
+    While a category is unseen all its items carry the reward, so its best item is taken first and the
+    others fall back to their score. The greedy order is therefore the order by score, the best item of
+    each category raised by the reward.
+    """
+    rows = ranked.where(F.col("rnk") <= k).select("uuid", "item", "score").join(categories.select("item", "category"), "item", "left")
+    first = F.row_number().over(Window.partitionBy("uuid", "category").orderBy(F.desc("score"), F.asc("item"))) == 1
+    named = F.coalesce("category", F.lit("")) != ""
+    rows = rows.withColumn("fresh", (first & named).cast("int"))
+    adjusted = F.round(F.col("score") + reward * F.col("fresh"), 12)
+    order = Window.partitionBy("uuid").orderBy(F.desc(adjusted), F.desc("fresh"), F.asc("item"))
+    return rows.select("uuid", "item", "score", F.row_number().over(order).alias("rnk"))
 
 
 def item_category(items: DataFrame, mapped: DataFrame, rules: list[dict]) -> DataFrame:

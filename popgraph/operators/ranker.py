@@ -220,7 +220,7 @@ def negative_search(make_data, columns, rows, truth, ratios=(1, 2, 4, 8), hardne
     log = []
 
     def run(phase, ratio, hard):
-        recall = recall_of(fit(make_data(ratio, hard), columns, params), rows, truth)
+        recall = recall_of(fit(cut_lineage(make_data(ratio, hard)), columns, params), rows, truth)
         log.append((phase, int(ratio), float(hard), recall))
         return recall
 

@@ -331,7 +331,22 @@ def _(t):
     return algo.pagerank(t.graph).select("node", F.round("rank", 6).alias("pagerank"))
 
 
-@plan("GA03_betweenness")
+_LEVELS = 9
+view("q_hund", "SELECT src, dst FROM q_und WHERE rel = 'ENJOYS_HOBBY'")
+view("q_bc0", "SELECT node AS s, node, 1.0::DOUBLE AS paths, 0 AS d FROM (SELECT DISTINCT src AS node FROM q_hund ORDER BY md5(concat_ws(':', src, '42')), src LIMIT 8)")
+view("q_bs0", "SELECT s, node FROM q_bc0")
+for _i in range(1, _LEVELS + 1):
+    view(f"q_bc{_i}", f"""SELECT l.s, e.dst AS node, sum(l.paths) AS paths, {_i} AS d FROM q_bc{_i - 1} l JOIN q_hund e ON e.src = l.node
+  WHERE NOT EXISTS (SELECT 1 FROM q_bs{_i - 1} x WHERE x.s = l.s AND x.node = e.dst) GROUP BY l.s, e.dst""")
+    view(f"q_bs{_i}", f"SELECT * FROM q_bs{_i - 1} UNION ALL SELECT s, node FROM q_bc{_i}")
+view(f"q_bd{_LEVELS}", f"SELECT s, node, paths, 0.0::DOUBLE AS delta FROM q_bc{_LEVELS}")
+for _i in range(_LEVELS - 1, -1, -1):
+    view(f"q_bd{_i}", f"""SELECT l.s, l.node, l.paths, l.paths * COALESCE(b.part, 0) AS delta FROM q_bc{_i} l LEFT JOIN
+  (SELECT r.s, e.dst AS node, sum((1 + r.delta) / r.paths) AS part FROM q_bd{_i + 1} r JOIN q_hund e ON e.src = r.node GROUP BY r.s, e.dst) b ON b.s = l.s AND b.node = l.node""")
+_BSUM = " UNION ALL ".join(f"SELECT node, delta FROM q_bd{i} WHERE s <> node" for i in range(_LEVELS + 1))
+
+
+@plan("GA03_betweenness", f"SELECT n.node, round(COALESCE(b, 0), 6) AS betweenness FROM (SELECT DISTINCT src AS node FROM q_hund) n LEFT JOIN (SELECT node, sum(delta) / 2 AS b FROM ({_BSUM}) GROUP BY node) x ON x.node = n.node")
 def _(t):
     return algo.betweenness(t.hobby_graph, 8).select("node", F.round("betweenness", 6).alias("betweenness"))
 
@@ -367,13 +382,30 @@ def _(t):
     return rows.select("node", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
-@plan("GA07_communities")
+def _cc(prefix, nodes, links, rounds=8):
+    """Views of a component labelling: minimum label over neighbours, unrolled."""
+    view(f"q_{prefix}0", f"SELECT node, node AS comp FROM ({nodes})")
+    for i in range(1, rounds + 1):
+        view(f"q_{prefix}{i}", f"""SELECT l.node, least(l.comp, COALESCE(h.comp, l.comp)) AS comp FROM q_{prefix}{i - 1} l LEFT JOIN
+(SELECT e.dst AS node, min(p.comp) AS comp FROM ({links}) e JOIN q_{prefix}{i - 1} p ON p.node = e.src GROUP BY e.dst) h ON h.node = l.node""")
+    return f"SELECT max(n) AS largest, CAST(sum(n) AS BIGINT) AS remaining, round(max(n) / sum(n), 4) AS ratio FROM (SELECT count(*) AS n FROM q_{prefix}{rounds} GROUP BY comp)"
+
+
+view("q_sadj", "SELECT src, dst FROM q_similar UNION SELECT dst, src FROM q_similar")
+view("q_lp0", "SELECT DISTINCT src AS node, src AS label FROM q_sadj")
+for _i in range(10):
+    view(f"q_lp{_i + 1}", f"""SELECT l.node, CASE WHEN (substr(md5(l.node), 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')) = {str(_i % 2 == 0).lower()} THEN COALESCE(b.label, l.label) ELSE l.label END AS label FROM q_lp{_i} l LEFT JOIN
+  (SELECT node, label FROM (SELECT e.dst AS node, p.label, row_number() OVER (PARTITION BY e.dst ORDER BY count(*) DESC, p.label) AS rn FROM q_sadj e JOIN q_lp{_i} p ON p.node = e.src GROUP BY e.dst, p.label) WHERE rn = 1) b ON b.node = l.node""")
+view("q_ssame", "SELECT src, dst FROM q_sadj JOIN q_lp10 a ON a.node = src JOIN q_lp10 b ON b.node = dst WHERE a.label = b.label")
+_cc("ccs", "SELECT node FROM q_lp10", "SELECT src, dst FROM q_ssame", 16)
+
+
+@plan("GA07_communities", "SELECT node, comp AS community_id FROM q_ccs16")
 def _(t):
     both = t.similar.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
     return algo.communities(both.select("e.src", "e.dst").distinct())
 
 
-view("q_hund", "SELECT src, dst FROM q_und WHERE rel = 'ENJOYS_HOBBY'")
 view("q_lab", """SELECT 'Person:' || uuid AS node, province AS label FROM q_persons UNION ALL
 SELECT DISTINCT 'Hobby:' || item, split_part(item, '/', 2) FROM q_hob""")
 
@@ -401,15 +433,6 @@ def _(t):
     return algo.k_hop(t.hobby_graph, seeds, 2)
 
 
-def _cc(prefix, nodes, links, rounds=8):
-    """Views of a component labelling: minimum label over neighbours, unrolled."""
-    view(f"q_{prefix}0", f"SELECT node, node AS comp FROM ({nodes})")
-    for i in range(1, rounds + 1):
-        view(f"q_{prefix}{i}", f"""SELECT l.node, least(l.comp, COALESCE(h.comp, l.comp)) AS comp FROM q_{prefix}{i - 1} l LEFT JOIN
-(SELECT e.dst AS node, min(p.comp) AS comp FROM ({links}) e JOIN q_{prefix}{i - 1} p ON p.node = e.src GROUP BY e.dst) h ON h.node = l.node""")
-    return f"SELECT max(n) AS largest, CAST(sum(n) AS BIGINT) AS remaining, round(max(n) / sum(n), 4) AS ratio FROM (SELECT count(*) AS n FROM q_{prefix}{rounds} GROUP BY comp)"
-
-
 view("q_gone", "SELECT 'Hobby:' || item AS node FROM q_hob GROUP BY item ORDER BY count(*) DESC, item LIMIT 140")
 
 

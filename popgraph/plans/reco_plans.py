@@ -452,9 +452,10 @@ def _(t):
     return features.rerank(built).select("uuid", "item", "score", "rnk")
 
 
-@plan("RR05_category_resort")
+@plan("RR05_category_resort", """SELECT uuid, item, score, CAST(row_number() OVER (PARTITION BY uuid ORDER BY round(score + 0.05::DOUBLE * fresh, 12) DESC, fresh DESC, item) AS INTEGER) AS rnk FROM (
+  SELECT r.uuid, r.item, r.score, CASE WHEN row_number() OVER (PARTITION BY r.uuid, category ORDER BY r.score DESC, r.item) = 1 THEN 1 ELSE 0 END AS fresh FROM q_rerank r JOIN q_items i ON i.item = r.item)""")
 def _(t):
-    return rounded(features.category_resort(t.reco.reranked, categories(t), 0.05), "score")
+    return features.category_resort(t.reco.reranked, categories(t), 0.05)
 
 
 @plan("RR06_item_category", """SELECT item, CASE WHEN item IN ('heated ring', 'widget') THEN 'mapped' WHEN contains(item, 'ring') AND NOT contains(item, 'hot') THEN 'craft'
@@ -820,14 +821,23 @@ def _item_vectors(t):
     return embedding.category_vectors(categories(t), CATEGORIES)
 
 
-@plan("DV01_mmr")
+def _mmr_sql(lists, lam, k=10):
+    """With one-hot category vectors the similarity to the chosen items is 1 once the category was taken."""
+    return f"""SELECT uuid, item, score, rn AS rnk FROM (SELECT uuid, item, score, row_number() OVER (PARTITION BY uuid ORDER BY round({lam}::DOUBLE * score - {1 - lam}::DOUBLE * later, 12) DESC, score DESC, rnk) AS rn FROM (
+  SELECT l.uuid, l.item, l.score, l.rnk, CASE WHEN row_number() OVER (PARTITION BY l.uuid, category ORDER BY l.score DESC, l.rnk) = 1 THEN 0 ELSE 1 END AS later FROM ({lists}) l JOIN q_items i ON i.item = l.item)) WHERE rn <= {k}"""
+
+
+_S1L, _RRL = "SELECT uuid, item, score, rnk FROM q_pool", "SELECT uuid, item, score, rnk FROM q_rerank"
+
+
+@plan("DV01_mmr", f"SELECT uuid, item, round(score, 6) AS score, CAST(rnk AS INTEGER) AS rnk FROM ({_mmr_sql(_S1L, 0.7)})")
 def _(t):
     return rounded(diversity.mmr(t.reco.stage1, _item_vectors(t), 0.7, 10), "score")
 
 
-@plan("DV02_mmr_categories")
+@plan("DV02_mmr_categories", f"SELECT uuid, item, score, CAST(rnk AS INTEGER) AS rnk FROM ({_mmr_sql(_RRL, 0.5)})")
 def _(t):
-    return rounded(diversity.mmr(t.reco.reranked.select("uuid", "item", "score", "rnk"), _item_vectors(t), 0.5, 10), "score")
+    return diversity.mmr(t.reco.reranked.select("uuid", "item", "score", "rnk"), _item_vectors(t), 0.5, 10)
 
 
 @plan("DV03_dpp")
@@ -841,9 +851,23 @@ def _(t):
     return rounded(diversity.list_diversity(t.reco.stage1, _item_vectors(t), len(CATEGORIES), 10), "diversity")
 
 
-@plan("DV05_lambda_sweep")
+_LAMBDAS = (0.3, 0.5, 0.7, 0.9)
+view("q_lbase", rv.summary_sql(_TRUTH, "SELECT uuid, item, rnk FROM q_pool WHERE rnk <= 10", ks=(10,), categories=True).replace("round(value, 6)", "value"))
+for _i, _lam in enumerate(_LAMBDAS):
+    view(f"q_lmmr{_i}", _mmr_sql(_S1L, _lam))
+    view(f"q_lsum{_i}", rv.summary_sql(_TRUTH, f"SELECT uuid, item, rnk FROM q_lmmr{_i}", ks=(10,), categories=True).replace("round(value, 6)", "value"))
+_SWEEP = " UNION ALL ".join(f"SELECT {lam}::DOUBLE AS lam, m.metric, m.value - b.value AS delta FROM q_lsum{i} m JOIN q_lbase b ON b.metric = m.metric" for i, lam in enumerate(_LAMBDAS))
+
+
+@plan("DV05_lambda_sweep", f"""WITH d AS ({_SWEEP}), p AS (SELECT lam, max(delta) FILTER (metric = 'recall') AS recall, max(delta) FILTER (metric = 'catalog_coverage') AS coverage,
+  max(delta) FILTER (metric = 'novelty') AS novelty, max(delta) FILTER (metric = 'intra_list_diversity') AS ild FROM d GROUP BY lam),
+g AS (SELECT *, CAST(CASE WHEN coverage > 0 THEN 1 ELSE 0 END + CASE WHEN novelty > 0 THEN 1 ELSE 0 END + CASE WHEN ild > 0 THEN 1 ELSE 0 END AS INTEGER) AS gains FROM p),
+s AS (SELECT *, CASE WHEN recall >= -0.002 AND gains >= 2 THEN coverage + ild END AS score FROM g)
+SELECT lam, round(recall, 6) + 0.0 AS recall, round(coverage, 6) + 0.0 AS coverage, round(novelty, 6) + 0.0 AS novelty, round(ild, 6) + 0.0 AS ild, gains, round(score, 6) + 0.0 AS score,
+  row_number() OVER (ORDER BY score DESC NULLS LAST, lam) = 1 AND score IS NOT NULL AS chosen FROM s""")
 def _(t):
     w = t.reco
     lists = cut_lineage(w.stage1)
-    sweep = diversity.lambda_sweep(lists, _item_vectors(t), w.part("validation"), _n_items(t), w.pop, categories(t), (0.3, 0.5, 0.7, 0.9))
-    return rounded(diversity.best_lambda(sweep), "recall", "coverage", "novelty", "ild", "score")
+    sweep = diversity.lambda_sweep(lists, _item_vectors(t), w.part("validation"), _n_items(t), w.pop, categories(t), _LAMBDAS)
+    best = rounded(diversity.best_lambda(sweep), "recall", "coverage", "novelty", "ild", "score")
+    return best.select("lam", "gains", "chosen", *[(F.col(c) + 0.0).alias(c) for c in ("recall", "coverage", "novelty", "ild", "score")])
