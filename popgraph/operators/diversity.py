@@ -112,7 +112,7 @@ def best_lambda(sweep: DataFrame, max_drop: float = 0.002) -> DataFrame:
     )
     gains = sum(((F.col(c) > 0).cast("int") for c in ("coverage", "novelty", "ild")), F.lit(0))
     ok = (F.col("recall") >= -max_drop) & (gains >= 2)
-    score = F.when(ok, F.col("coverage") + F.col("ild"))
+    score = F.when(ok, F.round(F.col("coverage") + F.col("ild"), 9))
     ranked = per.withColumn("gains", gains).withColumn("score", score)
     best = Window.orderBy(F.desc_nulls_last("score"), F.asc("lam"))
     return ranked.withColumn("chosen", (F.row_number().over(best) == 1) & F.col("score").isNotNull())

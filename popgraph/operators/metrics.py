@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count
+from popgraph.session import cut_lineage
 
 KS = (5, 10, 20)
 
@@ -125,7 +126,8 @@ def summary(truth: DataFrame, recs: DataFrame, n_items: int, pop: DataFrame, cat
     if truth.isEmpty():
         names = [f"{m}@{k}" for m in ("recall", "ndcg", "hit_rate", "catalog_coverage", "novelty") for k in ks]
         return truth.sparkSession.createDataFrame([(n.split("@")[0], int(n.split("@")[1]), 0.0) for n in names], "metric string, k int, value double")
-    mine = evaluated(truth, recs.where(F.col("rnk") <= max(ks)))
+    # four aggregations read the lists; they are ranked once
+    mine = cut_lineage(evaluated(truth, recs.where(F.col("rnk") <= max(ks)).select("uuid", "item", "rnk")))
     parts = [accuracy(truth, mine, ks), coverage(mine, n_items, ks), novelty(mine, pop, ks)]
     if categories is not None:
         parts.append(category_diversity(mine, categories, ks))

@@ -862,7 +862,7 @@ _SWEEP = " UNION ALL ".join(f"SELECT {lam}::DOUBLE AS lam, m.metric, m.value - b
 @plan("DV05_lambda_sweep", f"""WITH d AS ({_SWEEP}), p AS (SELECT lam, max(delta) FILTER (metric = 'recall') AS recall, max(delta) FILTER (metric = 'catalog_coverage') AS coverage,
   max(delta) FILTER (metric = 'novelty') AS novelty, max(delta) FILTER (metric = 'intra_list_diversity') AS ild FROM d GROUP BY lam),
 g AS (SELECT *, CAST(CASE WHEN coverage > 0 THEN 1 ELSE 0 END + CASE WHEN novelty > 0 THEN 1 ELSE 0 END + CASE WHEN ild > 0 THEN 1 ELSE 0 END AS INTEGER) AS gains FROM p),
-s AS (SELECT *, CASE WHEN recall >= -0.002 AND gains >= 2 THEN coverage + ild END AS score FROM g)
+s AS (SELECT *, CASE WHEN recall >= -0.002 AND gains >= 2 THEN round(coverage + ild, 9) END AS score FROM g)
 SELECT lam, round(recall, 6) + 0.0 AS recall, round(coverage, 6) + 0.0 AS coverage, round(novelty, 6) + 0.0 AS novelty, round(ild, 6) + 0.0 AS ild, gains, round(score, 6) + 0.0 AS score,
   row_number() OVER (ORDER BY score DESC NULLS LAST, lam) = 1 AND score IS NOT NULL AS chosen FROM s""")
 def _(t):
