@@ -58,6 +58,25 @@ def hashed_row_number(
     )
 
 
+def running_count(df: DataFrame, keys: list[str], at: str, value: str, block: int, out: str) -> DataFrame:
+    """Sum of `value` over a key's rows with a position up to this row's, equal positions included.
+
+    Positions are cut into blocks: totals of earlier blocks plus a running sum inside the block, so a
+    key with very many rows is spread over its blocks.
+    """
+    rows = df.withColumn("__b", F.floor(F.col(at) / block))
+    totals = rows.groupBy(*keys, "__b").agg(F.sum(value).alias("__t"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__base", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    inside = Window.partitionBy(*keys, "__b").orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("__in", F.sum(value).over(inside))
+        .join(totals, [*keys, "__b"])
+        .withColumn(out, F.col("__in") + F.col("__base"))
+        .drop("__b", "__in", "__base")
+    )
+
+
 def dense_index(df: DataFrame, order_cols: list[str], out: str) -> DataFrame:
     """0-based position of every row in the global order of order_cols, computed range by range.
 

@@ -7,7 +7,7 @@ Rounds end in a reliable checkpoint, which keeps plans short and survives the lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key, top_n_global
@@ -265,11 +265,9 @@ def modularity(adj: DataFrame, labels: DataFrame) -> DataFrame:
     per = tagged.groupBy(F.col("la").alias("community")).agg(
         row_count("deg"), F.count_if(F.col("la") == F.col("lb")).alias("inside")
     )
-    two_m = F.sum("deg").over(Window.partitionBy())
-    part = per.withColumn("two_m", two_m).select(
-        "community", (F.col("inside") / F.col("two_m") - F.pow(F.col("deg") / F.col("two_m"), 2)).alias("q")
-    )
-    return part.agg(row_count("communities"), F.round(F.sum("q"), 6).alias("modularity"))
+    deg, inside = F.col("deg"), F.col("inside")
+    sums = per.agg(row_count("communities"), F.sum(deg).alias("d"), F.sum(inside).alias("i"), F.sum(deg.cast("double") * deg).alias("s"))
+    return sums.select("communities", F.round(F.col("i") / F.col("d") - F.col("s") / F.pow("d", F.lit(2)), 6).alias("modularity"))
 
 
 def centrality_batch(adj: DataFrame, persons: DataFrame, previous: DataFrame | None, metrics: list[str], sampling: int) -> DataFrame:

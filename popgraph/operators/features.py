@@ -47,8 +47,7 @@ def item_profile(pop: DataFrame, histogram: DataFrame, cooc: DataFrame) -> DataF
     top = top_cooccurring(cooc).groupBy(F.col("src").alias("item")).agg(
         F.collect_list(F.struct("dst", "c")).alias("cooc_top"), F.sum("c").alias("cooc_total")
     )
-    top_pop = F.max("pop").over(Window.partitionBy())
-    return pop.withColumn("max_pop", top_pop).join(shares, "item", "left").join(top, "item", "left")
+    return pop.withColumn("max_pop", F.lit(pop.agg(F.max("pop")).first()[0])).join(shares, "item", "left").join(top, "item", "left")
 
 
 def _fit(field: str, value: Column) -> Column:

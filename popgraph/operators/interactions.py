@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key, top_n
-from popgraph.functions.skew import by_key, dense_index, hashed_row_number, join_measured
+from popgraph.functions.skew import by_key, dense_index, hashed_row_number, join_measured, running_count
 from popgraph.schema import PROFILE_FIELDS
+from popgraph.session import cut_lineage
 
 
 def split_by_person(
@@ -48,8 +49,9 @@ def popularity(train: DataFrame) -> DataFrame:
 
 
 def popularity_ranks(pop: DataFrame) -> DataFrame:
-    """Items by popularity, then name; the table has one row per catalogue item."""
-    return pop.withColumn("pop_rank", F.row_number().over(Window.orderBy(F.desc("pop"), F.asc("item"))))
+    """Items by popularity, then name, with their 1-based position; ranked range by range."""
+    keyed = pop.withColumn("__neg", -F.col("pop"))
+    return dense_index(keyed, ["__neg", "item"], "pos").select("item", "pop", (F.col("pos") + 1).cast("int").alias("pop_rank"))
 
 
 CHUNK = 64
@@ -112,24 +114,31 @@ def known_lists(known: DataFrame) -> DataFrame:
     return known.groupBy("uuid").agg(F.collect_set("item").alias("known"))
 
 
+ID_BLOCK = 4096
+
+
 def sample_negative(positives: DataFrame, full_known: DataFrame, items: DataFrame, seed: int = 42) -> DataFrame:
     """One item outside the person's known set for every positive, uniform by hash.
 
-    For a person with m known items the pick is position r of the n-m unknown ones. Counting known
-    items with a lower id turns it into an item id, so no person-item cross product is formed.
+    A person with m known items of n draws r among its n-m unknown ones. The unknown item at position r
+    has id r plus the number of known items before it, and the i-th known id k (from 0) lies before it
+    exactly when k - i <= r. Both counts are running counts over id blocks, so no person meets the
+    whole catalogue and no list of known items is built.
     """
-    ids = dense_ids(items, "item", "item_id")
+    ids = cut_lineage(dense_ids(items, "item", "item_id"))
     n = ids.count()
-    known = join_measured(full_known.select("uuid", "item"), ids, "item", "uuid").select("uuid", "item_id")
-    per = known.groupBy("uuid").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    if not per.where(F.size("ids") >= n).isEmpty():
+    known = cut_lineage(join_measured(full_known.select("uuid", "item").distinct(), ids, "item", "uuid").select("uuid", "item_id"))
+    sizes = known.groupBy("uuid").agg(row_count("m"))
+    if not sizes.where(F.col("m") >= n).isEmpty():
         raise ValueError("a person is connected to every item; cannot sample a negative")
+    placed = running_count(known.withColumn("one", F.lit(1)), ["uuid"], "item_id", "one", ID_BLOCK, "i")
+    shifted = placed.select("uuid", (F.col("item_id") - (F.col("i") - 1)).alias("at"), F.lit(1).alias("one"), F.lit(None).cast("string").alias("item"))
     draw = F.conv(F.substring(shuffle_key("uuid", "item", seed=seed), 1, 12), 16, 10).cast("long")
-    picked = positives.select("uuid", "item").join(per, "uuid").withColumn(
-        "r", F.pmod(draw, F.lit(n) - F.size("ids"))
+    drawn = positives.select("uuid", "item").join(sizes, "uuid").select(
+        "uuid", F.pmod(draw, F.lit(n) - F.col("m")).alias("at"), F.lit(0).alias("one"), "item"
     )
-    shift = F.aggregate("ids", F.col("r"), lambda acc, x: F.when(x <= acc, acc + 1).otherwise(acc))
-    rows = picked.select("uuid", "item", shift.alias("item_id"))
+    counted = running_count(shifted.unionByName(drawn), ["uuid"], "at", "one", ID_BLOCK, "before")
+    rows = counted.where(F.col("item").isNotNull()).select("uuid", "item", (F.col("at") + F.col("before")).alias("item_id"))
     return join_measured(rows, ids.withColumnRenamed("item", "negative"), "item_id", "uuid").select("uuid", "item", "negative")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count
@@ -225,10 +225,10 @@ def frequencies(recs: DataFrame) -> DataFrame:
 
 
 def entropy(counts: DataFrame, column: str) -> DataFrame:
-    """Shannon entropy in bits of a table of counts (one row per item or category)."""
-    p = F.col(column) / F.sum(column).over(Window.partitionBy())
-    bits = counts.where(F.col(column) > 0).select((-p * F.log2(p)).alias("b"))
-    return bits.agg(F.coalesce(F.sum("b"), F.lit(0.0)).alias("entropy"))
+    """Shannon entropy in bits of a table of counts: log2(total) - sum(c * log2(c)) / total."""
+    c = F.col(column)
+    sums = counts.where(c > 0).agg(F.sum(c).alias("t"), F.sum(c * F.log2(c)).alias("s"))
+    return sums.select(F.coalesce(F.log2("t") - F.col("s") / F.col("t"), F.lit(0.0)).alias("entropy"))
 
 
 def audit_popularity(freq: DataFrame, ranks: DataFrame) -> DataFrame:

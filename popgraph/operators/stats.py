@@ -71,8 +71,9 @@ def overview(persons: DataFrame, hobbies: DataFrame, skills: DataFrame) -> DataF
         skills.select(F.lit("skill").alias("section"), F.col("skill").alias("label"))
     )
     counts = person_counts.unionByName(pairs.groupBy("section", "label").agg(row_count()))
-    everyone = F.max(F.when(F.col("section") == "total", F.col("cnt"))).over(Window.partitionBy())
     ranked = top_n(counts, ["section"], [F.desc("cnt"), F.asc("label")], OVERVIEW_LIMIT)
+    # at most OVERVIEW_LIMIT rows per section are left here, the total among them
+    everyone = F.max(F.when(F.col("section") == "total", F.col("cnt"))).over(Window.partitionBy())
     return ranked.select("section", "label", "cnt", ratio(F.col("cnt"), everyone).alias("ratio_of_total"))
 
 
