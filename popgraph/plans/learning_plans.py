@@ -44,7 +44,7 @@ def _pos(t):
 
 
 def _items(t):
-    return t.hobbies.select("item").distinct()
+    return t.reco.split.select("item").distinct()
 
 
 @plan("RK01_negative_samples", "SELECT uuid, item, kind FROM q_rneg")

@@ -25,7 +25,7 @@ def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def categories(t) -> DataFrame:
-    return t.hobbies.select("item").distinct().withColumn("category", F.get(F.split("item", "/"), F.lit(1)))
+    return t.reco.split.select("item").distinct().withColumn("category", F.get(F.split("item", "/"), F.lit(1)))
 
 
 # --- vocabulary and interactions ------------------------------------------------------------------
@@ -298,7 +298,7 @@ def _(t):
 
 
 def _n_items(t):
-    return t.hobbies.select("item").distinct().count()
+    return t.reco.split.select("item").distinct().count()
 
 
 _SUM = {
