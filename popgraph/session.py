@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package's sources to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="popgraph-zip-"), "popgraph.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.join("popgraph", os.path.relpath(file, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Runtime settings every plan relies on: adaptive re-planning and skewed-join splitting."""
+    ship_package(spark)
     for key, value in {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
