@@ -61,18 +61,21 @@ def spread_count(spark: SparkSession) -> int:
 
 
 def annotate(
-    docs: DataFrame, fields: list[tuple[str, T.DataType]], fn: Callable[[pa.RecordBatch], list[pa.Array]]
+    docs: DataFrame, fields: list[tuple[str, T.DataType]], fn: Callable[[pa.RecordBatch], list[pa.Array]],
+    hide: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows (doc, *fields): every row of `docs` as a struct, next to what `fn` computes for its batch.
 
-    The struct keeps columns of `docs` apart from the results, whatever they are called.
+    The struct keeps columns of `docs` apart from the results, whatever they are called. Columns in
+    `hide` are read by `fn` and not returned.
     """
-    schema = T.StructType([T.StructField("doc", docs.schema), *(T.StructField(n, t) for n, t in fields)])
-    names = ["doc", *(n for n, _ in fields)]
+    shown = [f for f in docs.schema.fields if f.name not in hide]
+    schema = T.StructType([T.StructField("doc", T.StructType(shown)), *(T.StructField(n, t) for n, t in fields)])
+    names, own = ["doc", *(n for n, _ in fields)], [f.name for f in shown]
 
     def run(batches):
         for batch in batches:
-            doc = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            doc = pa.StructArray.from_arrays([batch.column(n) for n in own], names=own)
             yield pa.RecordBatch.from_arrays([doc, *fn(batch)], names=names)
 
     return docs.mapInArrow(run, schema)

@@ -102,9 +102,9 @@ _compiled: dict[str, list[Searcher]] = {}
 
 def find_benchmark(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK, block_words: int = BLOCK_WORDS,
-    text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    text: str = "text", item_id: str = "item_id", item_text: str = "text", keep_text: bool = True,
 ) -> DataFrame:
-    """(doc, n_words, n_hit, hits, items) for every row of `docs`.
+    """(doc, n_words, n_hit, hits, items) for every row of `docs`; `doc` has the text if `keep_text`.
 
     `hits` are the (start, end) word positions inside occurrences, `items` the ids found, sorted.
     """
@@ -135,12 +135,17 @@ def find_benchmark(
 
         return scan
 
+    out, last = docs, False
     blocks = _item_blocks(items, item_id, item_text, block_words)
-    out = annotate(docs, fields, one_block(spark.sparkContext.broadcast(next(blocks, []))))
-    for rows in blocks:
-        step = out.select("doc.*", F.col("hits").alias("__hits"), F.col("items").alias("__items"))
-        out = annotate(step, fields, one_block(spark.sparkContext.broadcast(rows)))
-        out = out.withColumn("doc", F.col("doc").dropFields("__hits", "__items"))
+    rows = next(blocks, [])
+    while not last:
+        following = next(blocks, None)
+        last = following is None
+        hide = ("__hits", "__items", *(() if keep_text or not last else (text,)))
+        out = annotate(out, fields, one_block(spark.sparkContext.broadcast(rows)), hide)
+        if not last:
+            out = out.select("doc.*", F.col("hits").alias("__hits"), F.col("items").alias("__items"))
+        rows = following
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc", "n_words", n_hit.alias("n_hit"), "hits", "items")
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import chat, decontaminate, mixing, quality, secrets
+from popgraph.llm import chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, suffix
 from popgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +28,39 @@ def query(name: str, sql: str | None = None):
 @query("op1_secrets")
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan_secrets(docs)
+    found = secrets.scan_secrets(docs, hide=("text",))
     return found.select(
         "doc.doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random"
     )
 
 
+@query("op2_spans")
+def op2(spark, sf_dir):
+    cut = spans.drop_repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc.doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.col("kept_text").alias("text"))
+
+
+@query("op3_suffix")
+def op3(spark, sf_dir):
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return cut.select(
+        "doc.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op4_lines")
+def op4(spark, sf_dir):
+    cut = lines.drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc.doc_id", "n_lines", "n_dropped", F.col("kept_text").alias("text"))
+
+
+@query("op5_jaccard")
+def op5(spark, sf_dir):
+    joined = jaccard.join_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "is_first")
+
+
 @query("op6_mixing")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -54,13 +82,19 @@ def op7(spark, sf_dir):
 @query("op8_decontaminate")
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select(
         "doc.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
     )
 
 
+@query("op9_ctw")
+def op9(spark, sf_dir):
+    scored = ctw.score(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return scored.select("doc.doc_id", *(c for c in scored.columns if c != "doc"))
+
+
 CONTROL = r"([<\[])(\\*)(sys>|/sys>|INST\]|/INST\]|s>|/s>|/role>|role [^<>\[\]]*>)"
 
 
@@ -88,3 +122,8 @@ def op10(spark, sf_dir):
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -91,8 +91,10 @@ def _encoding(raw: bytes):
     return _encodings[key]
 
 
-def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO, text: str = "text") -> DataFrame:
-    """(doc, n_assign, n_access, n_hex, n_random, base_spans, spans) for every row of `docs`.
+def scan_secrets(
+    docs: DataFrame, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO, text: str = "text", hide: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc, n_assign, n_access, n_hex, n_random, base_spans, spans) for every row; `doc` lacks columns in `hide`.
 
     `vocabulary` is the path of a rank file on the driver; its bytes, at most MAX_VOCABULARY_BYTES, are
     broadcast. Spans are kind:start:end in code points, end exclusive, comma-joined.
@@ -118,4 +120,4 @@ def scan_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, max_ratio: float
 
     long, string = T.LongType(), T.StringType()
     fields = [("n_assign", long), ("n_access", long), ("n_hex", long), ("n_random", long), ("base_spans", string), ("spans", string)]
-    return annotate(docs, fields, scan)
+    return annotate(docs, fields, scan, hide)
