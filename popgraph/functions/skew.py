@@ -18,12 +18,15 @@ def salted_counts(df: DataFrame, keys: list[str], rows_per_salt: int = HOT_ROWS)
 
 
 def spread(edges: DataFrame, key: str, other: str, salts: DataFrame) -> DataFrame:
-    """Attach a salt to each edge; a key with one salt keeps salt 0. `salts` = (key, n_salts)."""
-    return (
-        edges.join(salts, key)
-        .withColumn("salt", F.pmod(F.xxhash64(F.col(other)), F.col("n_salts")).cast("int"))
-        .drop("n_salts")
-    )
+    """Attach a salt to each edge; a key with one salt keeps salt 0. `salts` = (key, n_salts).
+
+    Only keys with more than one salt are looked up. There are at most as many as rows divided by the rows a salt
+    stands for, so they are broadcast: a hot key's rows never meet before they are salted.
+    """
+    hot = salts.where(F.col("n_salts") > 1).select(F.col(key).alias("__hot"), "n_salts")
+    met = edges.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    n = F.coalesce("n_salts", F.lit(1))
+    return met.withColumn("salt", F.pmod(F.xxhash64(F.col(other)), n).cast("int")).drop("n_salts", "__hot")
 
 
 def replicate(nodes: DataFrame, salts_col: str = "n_salts") -> DataFrame:
@@ -112,16 +115,21 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 256 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table's rows as text, an estimate of what a broadcast of it takes."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
-def join_measured(big: DataFrame, small: DataFrame, key: str, spread_by: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Inner join with a table that is usually small: broadcast when its counted size allows it.
+def join_measured(big: DataFrame, small: DataFrame, key: str, spread_by: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Inner join with a table that is usually small: broadcast when its measured size allows it.
 
     Broadcasting leaves `big` partitioned as it was, so a following aggregation by that partitioning
     needs no shuffle. A larger table is joined on (key, salt) instead, hot keys spread over salts.
     """
-    if small.count() <= max_rows:
+    if measured_bytes(small) <= max_bytes:
         return big.join(F.broadcast(small), key)
     salts = salted_counts(big, [key])
     left = spread(big, key, spread_by, salts)

@@ -59,7 +59,7 @@ def pagerank(
     return ranks.select("node", "rank")
 
 
-def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     """Smallest reachable node id per node: neighbour minimum, then a jump to the label's own label.
 
     The jump halves the distance still to go, so long chains settle in logarithmic rounds. Labels
@@ -67,7 +67,7 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 100) -> DataF
     """
     g = Graph(adj)
     labels = nodes.select("node", F.col("node").alias("comp"))
-    for _ in range(max_rounds):
+    while True:
         heard = g.send(labels).groupBy(F.col("dst").alias("node")).agg(F.min("comp").alias("heard"))
         lower = labels.join(heard, "node", "left").select(
             "node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp")
@@ -80,10 +80,10 @@ def components(nodes: DataFrame, adj: DataFrame, max_rounds: int = 100) -> DataF
             "node", "old", F.least("comp", "target").alias("comp")
         )
         labels = cut_lineage(jumped)
-        if labels.where(F.col("old") != F.col("comp")).isEmpty():
-            break
+        settled = labels.where(F.col("old") != F.col("comp")).isEmpty()
         labels = labels.select("node", "comp")
-    return labels.select("node", "comp")
+        if settled:
+            return labels
 
 
 def largest_component_ratio(nodes: DataFrame, adj: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -121,9 +121,9 @@ def k_hop(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def induced(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = nodes.select("node")
-    return adj.select("src", "dst").distinct().join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(
+    return adj.select("src", "dst").join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(
         inside.withColumnRenamed("node", "dst"), "dst", "left_semi"
-    )
+    ).distinct()
 
 
 def removal_impact(adj: DataFrame, targets: list[str], depth: int, communities: DataFrame | None = None) -> DataFrame:
@@ -152,7 +152,7 @@ def removal_impact(adj: DataFrame, targets: list[str], depth: int, communities:
     )
 
 
-def betweenness(adj: DataFrame, sampling_size: int, seed: int = 42, max_depth: int = 64) -> DataFrame:
+def betweenness(adj: DataFrame, sampling_size: int, seed: int = 42) -> DataFrame:
     """Shortest-path dependencies summed over sampled sources, halved because edges go both ways.
 
     All sources advance together: one table of (source, node, depth, paths) per level, then the
@@ -162,7 +162,7 @@ def betweenness(adj: DataFrame, sampling_size: int, seed: int = 42, max_depth: i
     picked = top_n_global(g.nodes.select("node"), [F.asc(shuffle_key("node", seed=seed)), F.asc("node")], sampling_size)
     level = cut_lineage(picked.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("s", "node")
-    while len(levels) <= max_depth:
+    while True:
         sent = g.send(levels[-1]).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
         level = cut_lineage(sent.join(seen, ["s", "node"], "left_anti"))
         if level.isEmpty():
@@ -234,7 +234,10 @@ def propagate(adj: DataFrame, start: DataFrame, dim: int, layers: int) -> DataFr
 
 
 def label_propagation(adj: DataFrame, rounds: int = 10) -> DataFrame:
-    """Each node takes its neighbours' most frequent label; odd and even nodes move in turn."""
+    """Each node takes its neighbours' most frequent label; odd and even nodes move in turn.
+
+    `rounds` is part of the definition: nodes of one parity move together, so labels may swap for ever.
+    """
     g = Graph(adj)
     labels = g.nodes.select("node", F.col("node").alias("label"))
     for i in range(rounds):

@@ -170,22 +170,27 @@ def representative_traits(counts: DataFrame, n: int = 5) -> DataFrame:
     return top_n_global(counts, [F.desc("cnt"), F.asc("name")], n)
 
 
+# Fixed sentences of the group profile.
+PROFILE_START = "조건({condition})에 맞는 페르소나 집합의 대표 프로필입니다."
+PROFILE_FACTS = ["핵심 성향", "주요 취미", "주요 스킬"]
+PROFILE_EMPTY = "조건에 맞는 페르소나가 없어 대표 프로필을 생성할 수 없습니다."
+PROFILE_PROMPT = (
+    "조건 기반 대표 페르소나를 한국어 3~5문장으로 합성하세요. 필터={condition}. 대표 취미={hobbies}. "
+    "대표 스킬={skills}. 근거 샘플={evidence}."
+)
+
+
 def representative_text(filters: dict[str, str], sample: DataFrame, hobbies: DataFrame, skills: DataFrame) -> DataFrame:
     """Deterministic group profile with evidence; the inputs are at most ten sample rows and five traits each."""
     people = sorted(sample.select("pos", "uuid", "persona").collect())
     names = [", ".join(r["name"] for r in sorted(t.select("rnk", "name").collect())) for t in (hobbies, skills)]
     condition = ", ".join(f"{k}={v}" for k, v in filters.items())
     evidence = ",".join(r["uuid"] for r in people)
+    text = PROFILE_EMPTY
     if people:
-        parts = [f"조건({condition})에 맞는 페르소나 집합의 대표 프로필입니다."]
-        facts = [("핵심 성향", people[0]["persona"]), ("주요 취미", names[0]), ("주요 스킬", names[1])]
-        text = " ".join(parts + [f"{label}: {value}" for label, value in facts if value])
-    else:
-        text = "조건에 맞는 페르소나가 없어 대표 프로필을 생성할 수 없습니다."
-    prompt = (
-        f"조건 기반 대표 페르소나를 한국어 3~5문장으로 합성하세요. 필터={condition}. 대표 취미={names[0]}. "
-        f"대표 스킬={names[1]}. 근거 샘플={evidence}."
-    )
+        values = zip(PROFILE_FACTS, [people[0]["persona"], *names])
+        text = " ".join([PROFILE_START.format(condition=condition), *(f"{label}: {value}" for label, value in values if value)])
+    prompt = PROFILE_PROMPT.format(condition=condition, hobbies=names[0], skills=names[1], evidence=evidence)
     return sample.sparkSession.createDataFrame(
         [(len(people), evidence, text, prompt)],
         "sample_size long, evidence_uuids string, representative_text string, prompt string",

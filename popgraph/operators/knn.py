@@ -17,6 +17,7 @@ from popgraph.session import cut_lineage
 MAX_QUERIES = 10_000
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 2048
+ROUNDING = 2e-9  # scores are rounded to nine digits
 PAIR_SCHEMA = "src string, dst string, score double"
 
 
@@ -158,7 +159,7 @@ def _other_blocks(placed, own, summary, distances, k, block_rows) -> DataFrame:
     )
     bounded = placed.join(reach, "uuid", "left").select(
         "uuid", "v", "cell", "salt",
-        F.when(F.col("found") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("worst")))).otherwise(F.lit(4.0)).alias("bound"),
+        F.when(F.col("found") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("worst") - ROUNDING)))).otherwise(F.lit(4.0)).alias("bound"),
     )
 
     def targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,10 +184,11 @@ def _other_blocks(placed, own, summary, distances, k, block_rows) -> DataFrame:
     ).drop("chunks")
     blocks = placed.select("uuid", "v", "cell", "salt").join(chunks, ["cell", "salt"])
     blocks = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    asked = cut_lineage(asked)
+    used = asked.select("cell", "salt", "chunk").distinct()
+    blocks = blocks.join(used, ["cell", "salt", "chunk"], "left_semi")  # a chunk nobody was dealt to has no group
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"src": [], "dst": [], "score": []})
         right = right.sort_values("uuid")
         ids = right["uuid"].to_numpy()
         scores = np.round(_matrix(left["v"]) @ _matrix(right["v"]).T, 9)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from popgraph.functions.columns import ratio, row_count, top_n, top_n_global
 from popgraph.schema import DIMENSIONS
+from popgraph.session import cut_lineage
 
 OVERVIEW_LIMIT = 20
+LIMITED_SECTIONS = ["occupation", "hobby", "skill"]
 
 
 def total(persons: DataFrame) -> DataFrame:
@@ -54,7 +56,10 @@ def dimension_distribution(values: DataFrame, limit: int, digits: int | None = 4
 
 
 def overview(persons: DataFrame, hobbies: DataFrame, skills: DataFrame) -> DataFrame:
-    """All overview distributions as (section, label, cnt, ratio); persons are read in one pass."""
+    """All overview distributions as (section, label, cnt, ratio); persons are read in one pass.
+
+    Occupations, hobbies and skills show their OVERVIEW_LIMIT commonest labels, all other sections every label.
+    """
     sections = {
         "age": "age_group", "sex": "sex", "province": "province", "education": "education_level",
         "marital": "marital_status", "occupation": "occupation",
@@ -71,8 +76,11 @@ def overview(persons: DataFrame, hobbies: DataFrame, skills: DataFrame) -> DataF
         skills.select(F.lit("skill").alias("section"), F.col("skill").alias("label"))
     )
     counts = person_counts.unionByName(pairs.groupBy("section", "label").agg(row_count()))
-    ranked = top_n(counts, ["section"], [F.desc("cnt"), F.asc("label")], OVERVIEW_LIMIT)
-    # at most OVERVIEW_LIMIT rows per section are left here, the total among them
+    counts = cut_lineage(counts)
+    limited = F.col("section").isin(LIMITED_SECTIONS)
+    top = top_n(counts.where(limited), ["section"], [F.desc("cnt"), F.asc("label")], OVERVIEW_LIMIT)
+    ranked = counts.where(~limited).unionByName(top.select(*counts.columns))
+    # one row per label of small domains is left here, the total among them
     everyone = F.max(F.when(F.col("section") == "total", F.col("cnt"))).over(Window.partitionBy())
     return ranked.select("section", "label", "cnt", ratio(F.col("cnt"), everyone).alias("ratio_of_total"))
 

@@ -178,7 +178,7 @@ def suffix_candidates(name: Column) -> Column:
     return F.filter(F.array_compact(F.array(two, one)), lambda x: F.length(x) > 1)
 
 
-def mine_suffixes(vocabulary: DataFrame, min_support: int, max_rounds: int = 50) -> DataFrame:
+def mine_suffixes(vocabulary: DataFrame, min_support: int) -> DataFrame:
     """(name, suffix): every name goes to its longest suffix; suffixes short of support are pruned until none is.
 
     Only (suffix, count) decides a round, so a suffix that a third of all names share is counted with
@@ -187,7 +187,7 @@ def mine_suffixes(vocabulary: DataFrame, min_support: int, max_rounds: int = 50)
     pairs = cut_lineage(vocabulary.select("name", F.explode(suffix_candidates(F.col("name"))).alias("suffix")).distinct())
     alive = cut_lineage(pairs.groupBy("suffix").agg(row_count("n")).where(F.col("n") >= max(min_support, 1)).select("suffix"))
     count = alive.count()
-    for _ in range(max_rounds):
+    while True:  # suffixes only ever leave
         live = pairs.join(alive, "suffix", "left_semi")
         best = F.min(F.struct(
             (-F.size(F.split("suffix", " "))).alias("words"), (-F.length("suffix")).alias("chars"), "suffix"
@@ -198,7 +198,6 @@ def mine_suffixes(vocabulary: DataFrame, min_support: int, max_rounds: int = 50)
         if now == count:
             return assigned.join(alive, "suffix", "left_semi")
         count = now
-    raise RuntimeError("suffix mining did not settle")
 
 
 def suffix_clusters(assigned: DataFrame, support: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from popgraph.functions.columns import row_count
+from popgraph.functions.columns import row_count, top_n
 from popgraph.functions.vectors import lexical_similarity
 from popgraph.operators import conversation as conv
 from popgraph.operators import explain, features, interactions, knn, leakage, ranker, stats
@@ -140,9 +140,13 @@ def _(t):
 view("q_allpop", "SELECT item, pop, row_number() OVER (ORDER BY pop DESC, item) AS pop_rank FROM (SELECT item, count(*) AS pop FROM q_hob GROUP BY item)")
 
 
-@plan("RK12_final_recommendations", "SELECT r.uuid, r.item, r.score, CAST(r.rnk AS INTEGER) AS rnk, 'rule_rerank' AS mode, s.reason FROM q_rerank r JOIN q_reason s ON s.uuid = r.uuid AND s.item = r.item WHERE r.rnk <= 10")
+@plan("RK12_final_recommendations", """SELECT r.uuid, r.item, r.score, CAST(r.rn AS INTEGER) AS rnk, 'rule_rerank' AS mode, s.reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY rnk) AS rn FROM q_rerank x WHERE NOT EXISTS (SELECT 1 FROM q_int o WHERE o.uuid = x.uuid AND o.item = x.item)) r
+JOIN q_reason s ON s.uuid = r.uuid AND s.item = r.item WHERE r.rn <= 10""")
 def _(t):
-    rows = t.reco.reranked.where(F.col("rnk") <= 10)
+    # the evaluation pool leaves out training items only; a person is served nothing they have
+    free = t.reco.reranked.join(t.reco.split.select("uuid", "item"), ["uuid", "item"], "left_anti")
+    rows = top_n(free, ["uuid"], [F.asc("rnk")], 10)
     return rows.select("uuid", "item", "score", "rnk", F.lit("rule_rerank").alias("mode"), explain.reason(explain.contributions()).alias("reason"))
 
 
@@ -569,15 +573,15 @@ def _(t):
 def _(t):
     events = t.raw("events")
     path = files.scratch_path(t.spark, "events")
-    top = events.agg(F.max("event_id")).first()[0]
-    for i in range(4):
-        lo, hi = top * i // 4, top * (i + 1) // 4 + (i == 3)
-        events.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(path)
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(path)  # files, and so batches, mix old and new events
     stream = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
     def latest(batch):
-        good = F.when(F.col("event_type") != "error", F.col("event_id"))
+        good = F.col("event_type") != "error"
         return batch.groupBy(F.col("user_id").cast("string").alias("uuid")).agg(
-            F.max_by("event_type", "event_id").alias("last_type"), F.max_by("value", good).alias("last_value"))
+            F.max(F.struct(F.col("event_id").alias("at"), F.col("event_type").alias("value"))).alias("last_type"),
+            F.max(F.when(good, F.struct(F.col("event_id").alias("at"), "value"))).alias("last_value"))
 
-    return sessions.upsert_stream(stream, "uuid", latest, "uuid string, last_type string, last_value double", "users")
+    schema = "uuid string, last_type struct<at:bigint,value:string>, last_value struct<at:bigint,value:double>"
+    table = sessions.upsert_stream(stream, "uuid", latest, schema, "users")
+    return table.select("uuid", F.col("last_type.value").alias("last_type"), F.col("last_value.value").alias("last_value"))

@@ -97,7 +97,7 @@ WITH c AS (SELECT 'total' AS section, 'all' AS label, count(*) AS cnt FROM q_per
 """ + "".join(f"UNION ALL SELECT '{s}', {c}, count(*) FROM q_persons WHERE {c} IS NOT NULL GROUP BY {c}\n" for s, c in _OVER.items()) + """
 UNION ALL SELECT 'hobby', item, count(*) FROM q_hob GROUP BY item UNION ALL SELECT 'skill', skill, count(*) FROM q_skl GROUP BY skill),
 r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY cnt DESC, label) AS rn FROM c)
-SELECT section, label, cnt, round(cnt / (SELECT count(*) FROM q_persons), 4) AS ratio_of_total FROM r WHERE rn <= 20""")
+SELECT section, label, cnt, round(cnt / (SELECT count(*) FROM q_persons), 4) AS ratio_of_total FROM r WHERE rn <= 20 OR section NOT IN ('occupation', 'hobby', 'skill')""")
 def _(t):
     return stats.overview(t.persons, t.hobbies, t.skills)
 

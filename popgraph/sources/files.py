@@ -52,11 +52,11 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contexts(spark: SparkSession, path: str) -> DataFrame:
-    """21 context columns, trimmed, nulls blank; the last row of a person wins."""
+    """21 context columns, trimmed, nulls blank; a person's last row in the order of file names wins."""
     df = _read_exact_csv(spark, path, CONTEXT_COLUMNS)
     rows = df.select(
         *[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in CONTEXT_COLUMNS],
-        F.monotonically_increasing_id().alias("__pos"),
+        F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("__pos"),
     ).where(F.col("person_uuid") != "")
     return last_row_wins(rows, "person_uuid", "__pos").drop("__pos")
 
@@ -167,6 +167,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "uuid") -> DataFrame:
     )
 
 
+def upsert_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Newest value of every property, whatever the order rows come in: each property is a struct that starts with the
+    number of the event that set it."""
+    both = old.unionByName(new)
+    return both.groupBy(key).agg(*[F.max(c).alias(c) for c in both.columns if c != key])
+
+
 def only_new(new: DataFrame, existing: DataFrame, key: str = "uuid") -> DataFrame:
     return new.join(existing.select(key), key, "left_anti")
 

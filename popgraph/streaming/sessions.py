@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from popgraph.operators.conversation import has_any
-from popgraph.sources.files import scratch_path, upsert
+from popgraph.sources.files import scratch_path, upsert_latest
 
 
 def carried_filters_stream(turns: DataFrame, extract: dict[str, Column], reset, idle: str | None = None) -> DataFrame:
@@ -66,7 +66,8 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 def upsert_stream(stream: DataFrame, key: str, shape: Callable[[DataFrame], DataFrame], schema: str, name: str) -> DataFrame:
     """Fold a stream into a keyed table and return the table after the last batch.
 
-    Every batch writes the folder of its own number from the folder before it, so a batch that is run
+    `shape` turns a batch into rows of `schema`: the key, and per property a struct of event number and value. The newest
+    event wins also when it came in an earlier batch. Every batch writes the folder of its own number from the folder before it, so a batch that is run
     again after a failure overwrites its own result and nothing else.
     """
     spark: SparkSession = stream.sparkSession
@@ -75,8 +76,8 @@ def upsert_stream(stream: DataFrame, key: str, shape: Callable[[DataFrame], Data
 
     def apply(batch: DataFrame, number: int) -> None:
         old = spark.read.parquet(f"{path}/{number - 1}") if number > 0 else spark.createDataFrame([], schema)
-        upsert(old, shape(batch), key).write.mode("overwrite").parquet(f"{path}/{number}")
+        upsert_latest(old, shape(batch), key).write.mode("overwrite").parquet(f"{path}/{number}")
         done["batch"] = number
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/{done['batch']}")
+    return spark.read.parquet(f"{path}/{done['batch']}") if done["batch"] >= 0 else spark.createDataFrame([], schema)
