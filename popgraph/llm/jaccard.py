@@ -4,17 +4,19 @@ A document's set are its distinct shingles of N words, as 64-bit hashes. Equal s
 128-bit hash, so copies are joined by counting. Two different sets A, B link when
 100 |A and B| >= t |A or B|, so they differ in at most d = (100-t)/(100+t) (|A|+|B|) shingles.
 
-1. Which tree: sets are cut into size slabs such that links stay inside a slab or cross to the next one. In a
-   slab, shingles are hashed into G > d groups: d differences spoil at most d groups, so linked sets
-   agree wholly in one of them at least. (slab, group, hash of the group's shingles) is a key, and sets that
-   share one are in one cluster. A key of more than HOT sets is left out for sets that keep more than d
-   other keys (such a set still shares one of these with every partner); sets that don't use it among themselves.
-   Every set has about |A| t'/100 keys, and no pair of sets is ever listed.
-2. In a cluster, the counts of shingles per group (GROUPS coordinates) are points of a packed R-tree. The sum
-   of coordinate minima bounds the overlap of two sets, and of a set with all sets in a node; what may
-   reach the needed overlap is verified on the shingles. Sets that are already connected are not verified
-   again, as only components are asked for.
-3. A cluster over CELL_SETS sets or CELL_SHINGLES shingles is cut into chunks, and each pair of chunks is a cell
+1. Which sets meet: sets are cut into size slabs such that links stay inside a slab or cross to the next one. In a
+   slab, shingles are hashed into G > d groups: d differences spoil at most d groups, so linked sets agree
+   wholly in G - d of them at least. (slab, group, hash of the group's shingles) is a key, and sets with the same
+   key meet in its bucket. G has some groups to spare: a set with few empty groups has no key for these, and one
+   with few crowded keys (of more than HOT sets) leaves these out, few being half of the spare each; it still
+   shares a key with every partner. Sets that don't keep to it use such keys among themselves.
+2. In a bucket, the counts of shingles per group, with about eight shingles to a group, are points of a packed R-tree.
+   The sum of coordinate minima bounds the overlap of two sets, and of a set with all sets in a node. Sets that may
+   reach the overlap they need are in one cluster. Buckets with the same sets are looked at once; crowded
+   buckets are clusters as they are.
+3. In a cluster, the same bound chooses the sets that are verified on their shingles. Sets already connected are not
+   verified again, as only components are asked for, and no pair of sets is listed but one a step of a component.
+4. A cluster over CELL_SETS sets or CELL_SHINGLES shingles is cut into chunks, and each pair of chunks is a cell
    of its own, so no task holds more than two chunks.
 
 Defined cases: null and empty texts, and texts without words, have no shingle and link with nothing (their own
@@ -37,11 +39,12 @@ from popgraph.llm.common import kept, numbered
 from popgraph.llm.graphs import components
 
 WORDS, PERCENT = 3, 90
-GROUPS = 32
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 32, 4096
 HOT = 64
 SPARE = 0.25  # groups beyond d + 1, as a share
 CELL_SETS, CELL_SHINGLES = 16_000, 4_000_000
 LEAF, FANOUT, BLOCK = 16, 16, 64
+CHUNK = 2_000_000  # numbers looked at together
 CACHED_WORDS = 500_000
 
 _u = np.uint64
@@ -97,14 +100,15 @@ class Slabs:
         return 2 * self.tops[slab] * (100 - self.t) // (100 + self.t)
 
     def spare(self, slab: int) -> int:
-        return int(SPARE * (self.differences(slab) + 1))
+        """How many empty groups, and how many crowded keys, a set may leave out."""
+        return int(SPARE * (self.differences(slab) + 1)) // 2
 
     def groups(self, slab: int) -> int:
-        return self.differences(slab) + 1 + self.spare(slab)
+        return self.differences(slab) + 1 + 2 * self.spare(slab)
 
 
 def keys(found: np.ndarray, slabs: Slabs) -> list[tuple[int, np.ndarray]]:
-    """(slab, one key per group) for every slab the set belongs to."""
+    """(slab, a key per group) for every slab the set belongs to; none for empty groups if they are few."""
     out, spread = [], mixed(found ^ _u(0x5851F42D4C957F2D))
     for slab in slabs.of(len(found)):
         n = slabs.groups(slab)
@@ -113,29 +117,46 @@ def keys(found: np.ndarray, slabs: Slabs) -> list[tuple[int, np.ndarray]]:
         np.add.at(sums, group, spread)
         with np.errstate(over="ignore"):
             place = mixed(np.arange(n, dtype=np.uint64) * _u(0x9E3779B97F4A7C15) + _u(slab + 1))
-            out.append((slab, mixed(sums + place)))
+            key = mixed(sums + place)
+        full = np.bincount(group, minlength=n) > 0
+        out.append((slab, key[full] if n - full.sum() <= slabs.spare(slab) else key))
     return out
 
 
+def counts(found: np.ndarray) -> np.ndarray:
+    """Shingles per group; the number of groups is a power of two that suits the set's size."""
+    n = LEAST_GROUPS
+    while n < MOST_GROUPS and n * PER_GROUP < len(found):
+        n *= 2
+    return np.bincount((mixed(found) >> _u(40)).astype(np.int64) % n, minlength=n).astype(np.int32)
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """Count vectors as rows, brought to the smallest number of groups among them."""
+    n = min(map(len, vectors))
+    return np.stack([v.reshape(-1, n).sum(axis=0, dtype=np.int32) for v in vectors])
+
+
 def sizes_and_classes(docs: DataFrame, n: int, text: str, doc_id: str) -> DataFrame:
-    """(row, id, size, k1, k2) of `docs` with a `__row`: set sizes and the 128-bit hash of the set."""
+    """(row, id, size, k1, k2, counts) of `docs` with a `__row`: set sizes, 128-bit hashes and count vectors."""
 
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            size, k1, k2 = [], [], []
+            size, k1, k2, vectors = [], [], [], []
             for value in batch.column(2):
                 found = shingles(value.as_py(), n, hashes)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 size.append(len(found))
+                vectors.append(counts(found).astype(np.uint16 if len(found) < 1 << 16 else np.int32).tobytes())
                 k1.append(int.from_bytes(digest[:8], "little", signed=True))
                 k2.append(int.from_bytes(digest[8:], "little", signed=True))
             columns = [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (size, k1, k2))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "size", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(vectors, pa.binary())], names=["row", "id", "size", "k1", "k2", "counts"])
 
     own = docs.select("__row", F.col(doc_id).alias("id"), F.col(text).alias("text"))
     long = T.LongType()
-    schema = T.StructType([T.StructField("row", long), T.StructField("id", own.schema["id"].dataType), *(T.StructField(c, long) for c in ("size", "k1", "k2"))])
+    schema = T.StructType([T.StructField("row", long), T.StructField("id", own.schema["id"].dataType), *(T.StructField(c, long) for c in ("size", "k1", "k2")), T.StructField("counts", T.BinaryType())])
     return own.mapInArrow(run, schema)
 
 
@@ -163,21 +184,58 @@ def set_keys(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "key bigint, k1 bigint, slab int, spare int")
 
 
-def clusters(docs: DataFrame, n: int, percent: int, text: str, hot: int) -> DataFrame:
+def clusters(docs: DataFrame, classes: DataFrame, n: int, percent: int, text: str, hot: int) -> DataFrame:
     """(k1, cluster): sets that may be connected by links are in one cluster; sets alone are left out."""
     by_key = Window.partitionBy("key")
     met = set_keys(docs, n, percent, text).select(
         "*", F.count(F.lit(1)).over(by_key).alias("n"), F.min("k1").over(by_key).alias("low"), F.max("k1").over(by_key).alias("high")
     )
-    met = met.where((F.col("low") != F.col("high")) & ((F.col("k1") != F.col("low")) | (F.col("n") > hot)))
-    met = kept(met, "keys")
-    cold = met.where(F.col("n") <= hot).select(F.col("k1").alias("a"), F.col("low").alias("b"))
+    met = kept(met.where(F.col("low") != F.col("high")), "keys")
+    buckets = met.where(F.col("n") <= hot).groupBy("key").agg(F.array_sort(F.collect_set("k1")).alias("sets"))
+    buckets = buckets.select("sets").distinct().select(F.xxhash64("sets").alias("bucket"), F.explode("sets").alias("k1"))
     crowded = met.where(F.col("n") > hot)
     few = crowded.groupBy("k1", "slab").agg(F.count_distinct("key").alias("lost"), F.max("spare").alias("spare"))
     few = few.where(F.col("lost") > F.col("spare")).select("k1", "slab")
     among = crowded.join(few, ["k1", "slab"], "left_semi").select("key", "k1").distinct()
     rest = among.select(F.col("k1").alias("a"), F.min("k1").over(by_key).alias("b"))
-    return components(cold.unionByName(rest)).select(F.col("node").alias("k1"), F.col("comp").alias("cluster"))
+    edges = bucket_edges(buckets, classes, percent).unionByName(rest)
+    return components(edges).select(F.col("node").alias("k1"), F.col("comp").alias("cluster"))
+
+
+def bucket_edges(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect the sets of a bucket whose count vectors allow a link."""
+    met = buckets.join(classes.select("k1", "size", "counts"), "k1").select("bucket", "k1", "size", "counts")
+    dealt = met.repartition("bucket").sortWithinPartitions("bucket", "k1")
+
+    def solve(bucket):
+        k1, size, vectors = zip(*bucket)
+        found = [np.frombuffer(v, dtype=np.uint16 if n < 1 << 16 else np.int32).astype(np.int32) for v, n in zip(vectors, size)]
+        return [(k1[a], k1[b]) for a, b in connected(folded(found), np.array(size, dtype=np.int64), percent, None)]
+
+    return _by_group(dealt, ["bucket"], ["k1", "size", "counts"], solve)
+
+
+def _by_group(dealt: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
+    """(a, b) from `solve(rows)` for every group of sorted rows with at least two."""
+
+    def run(batches):
+        last, group = None, []
+        for batch in batches:
+            out = []
+            names = zip(*(batch.column(c).to_pylist() for c in keys))
+            for key, row in zip(names, zip(*(batch.column(c).to_pylist() for c in columns))):
+                if key != last:
+                    out += solve(group) if len(group) > 1 else []
+                    last, group = key, []
+                group.append(row)
+            yield _edges(out)
+        yield _edges(solve(group) if len(group) > 1 else [])
+
+    def _edges(found):
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 class RTree:
@@ -224,50 +282,65 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def cell_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what links connect, at most one less than sets: positions in `sets`."""
-    vectors = np.stack([np.bincount((s >> _u(7)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets]).astype(np.int32)
-    tree = RTree(vectors, np.array([len(s) for s in sets], dtype=np.int64))
+def connected(vectors: np.ndarray, sizes: np.ndarray, percent: int, linked_sets) -> list[tuple[int, int]]:
+    """Edges that connect what pairs connect, at most one less than sets: positions in `vectors`.
+
+    Pairs are those whose bound allows a link and, if given, for which `linked_sets(i, j)` is true.
+    """
+    tree = RTree(vectors, sizes)
     order = tree.order
-    v, sizes = vectors[order], np.array([len(sets[i]) for i in order], dtype=np.int64)
-    label, found = np.arange(len(sets)), []
+    v, sizes = vectors[order], sizes[order]
+    label, found = np.arange(len(sizes)), []
+
+    def overlap(q: np.ndarray, corner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sum of coordinate minima of points q and corners `at`, piece by piece."""
+        step = max(1, CHUNK // v.shape[1])
+        parts = [np.minimum(v[q[i : i + step]], corner[at[i : i + step]]).sum(axis=1) for i in range(0, len(q), step)]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
 
-    def possible(q: np.ndarray, corner: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    def possible(q: np.ndarray, corner: np.ndarray, least: np.ndarray, most: np.ndarray, at: np.ndarray) -> np.ndarray:
         """May a set of q's size reach the overlap it needs with some set under the corner?"""
-        own = sizes[q]
+        own, least, most = sizes[q], least[at], most[at]
         small = np.maximum(least, -(-percent * own // 100))
-        bound = np.minimum(v[q], corner).sum(axis=1)
         fits = (100 * most >= percent * own) & (percent * least <= 100 * own)
-        return fits & ((100 + percent) * bound >= percent * (own + small))
+        return fits & ((100 + percent) * overlap(q, corner, at) >= percent * (own + small))
 
-    for start in range(0, len(sets), BLOCK):
-        block = np.arange(start, min(start + BLOCK, len(sets)))
+    for start in range(0, len(sizes), BLOCK):
+        block = np.arange(start, min(start + BLOCK, len(sizes)))
         step, corner, least, most = tree.levels[-1]
         q, node = block, np.zeros(len(block), dtype=np.int64)
         for depth in range(len(tree.levels) - 1, -1, -1):
             step, corner, least, most = tree.levels[depth]
-            good = (node * step < q) & possible(q, corner[node], least[node], most[node])  # earlier points only
+            early = node * step < q  # a pair is looked at from its later point
+            q, node = q[early], node[early]
+            good = possible(q, corner, least, most, node)
             q, node = q[good], node[good]
             wide = FANOUT if depth else LEAF
-            last = len(tree.levels[depth - 1][1]) if depth else len(sets)
+            last = len(tree.levels[depth - 1][1]) if depth else len(sizes)
             q = np.repeat(q, wide)
             node = (node[:, None] * wide + np.arange(wide)).ravel()
             inside = node < last
             q, node = q[inside], node[inside]
-        good = (node < q) & (label[q] != label[np.minimum(node, len(sets) - 1)])
+        good = (node < q) & (label[q] != label[np.minimum(node, len(sizes) - 1)])
         q, node = q[good], node[good]
-        good = possible(q, v[node], sizes[node], sizes[node])
+        good = possible(q, v, sizes, sizes, node)
         q, node = q[good], node[good]
-        bound = np.minimum(v[q], v[node]).sum(axis=1)
+        bound = overlap(q, v, node)
         for i in np.lexsort((-bound, q)):
             a, b = q[i], node[i]
-            if label[a] != label[b] and linked(sets[order[a]], sets[order[b]], percent):
+            if label[a] != label[b] and (linked_sets is None or linked_sets(order[a], order[b])):
                 found.append((int(order[a]), int(order[b])))
                 low, high = sorted((label[a], label[b]))
                 label[label == high] = low
     return found
 
 
+def cell_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what links connect, at most one less than sets: positions in `sets`."""
+    vectors, sizes = folded([counts(s) for s in sets]), np.array([len(s) for s in sets], dtype=np.int64)
+    return connected(vectors, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent))
+
+
 def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     """(a, b) rows of sets that link, enough to connect each component. `members` = (row, size, cluster)."""
     total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("shingles"))
@@ -296,20 +369,7 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, tex
         rows, found = zip(*cell)
         return [(rows[a], rows[b]) for a, b in cell_links([np.frombuffer(f, dtype=np.uint64) for f in found], percent)]
 
-    def run(batches):
-        last, cell, out = None, [], []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "x", "y", "row", "found")]
-            for cluster, x, y, row, found in zip(*columns):
-                if (cluster, x, y) != last:
-                    out += solve(cell) if len(cell) > 1 else []
-                    last, cell = (cluster, x, y), []
-                cell.append((row, found))
-        out += solve(cell) if len(cell) > 1 else []
-        a, b = zip(*out) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return cells.mapInArrow(run, "a bigint, b bigint")
+    return _by_group(cells, ["cluster", "x", "y"], ["row", "found"], solve)
 
 
 def join_sets(
@@ -322,9 +382,9 @@ def join_sets(
     own = kept(sizes_and_classes(numbered(docs), n, text, doc_id), "sets")
     known = own.where("size > 0")
     first = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row"))
-    classes = known.groupBy("k1", "k2", "size").agg(F.min("row").alias("rep"), F.min(first).alias("first"))
+    classes = known.groupBy("k1", "k2", "size").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.first("counts").alias("counts"))
     classes = kept(classes, "classes")
-    grouped = clusters(docs, n, percent, text, hot)
+    grouped = clusters(docs, classes, n, percent, text, hot)
     members = kept(classes.join(grouped, "k1").select(F.col("rep").alias("row"), "size", "cluster"), "members")
     links = components(cluster_links(members, docs, n, percent, text))
     met = classes.join(links, classes["rep"] == links["node"], "left").withColumn("comp", F.coalesce("comp", "rep"))
