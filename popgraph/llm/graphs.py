@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         else:
             moved = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return moved.where(F.col("a") != F.col("b")).distinct()
+        return moved.where(F.col("a") != F.col("b"))
 
     def state(links: DataFrame):
         return links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := state(links)) != before:
         before = now
-        links = kept(star(star(links, False), True), "links")
+        links = kept(star(star(links, False), True).distinct(), "links")
     return links.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )
