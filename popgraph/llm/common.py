@@ -47,12 +47,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none)."""
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+")
-    return F.filter(parts, lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def lower_words(text: Column) -> Column:
+    """As `words`, in lower case."""
+    return words(F.lower(text))
 
 
 def spread_count(spark: SparkSession) -> int:

@@ -75,8 +75,8 @@ def op6(spark, sf_dir):
 
 @query("op7_quality")
 def op7(spark, sf_dir):
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc.doc_id", *(c for c in judged.columns if c != "doc"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
+    return judged.select("doc.doc_id", *(c for c in judged.columns if c not in ("row", "doc")))
 
 
 @query("op8_decontaminate")

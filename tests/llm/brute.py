@@ -282,3 +282,36 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, limit=2):
         if not above:
             return fixed | dealt
         fixed |= {s: limit * sizes[s] for s in above}
+
+
+def quality_distances(rows, common=20):
+    """[(text, lang)] -> [(character-class distance, common-word distance)] from the language's histograms; None where
+    the text is too short to compare."""
+
+    def chars(text):
+        digit, upper = len(re.findall("[0-9]", text)), len(re.findall("[A-Z]", text))
+        other = len(re.findall(r"[\x00-\x08\x0E-\x1F!-/:-@\[-`{-\x7F]", text))
+        space = len(re.findall(r"[\x20\x09-\x0D]", text))
+        return [space, len(text) - space - digit - upper - other, len(text.encode()) - len(text), digit, upper, other]
+
+    def distance(a, b):
+        p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+        term = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+        return math.sqrt(max(0.0, sum(term(x, y) + term(y, x) for x, y in zip(p, q)) / 2))
+
+    totals, counts = {}, defaultdict(Counter)
+    for text, lang in rows:
+        totals[lang] = [x + y for x, y in zip(totals.get(lang, [0] * 6), chars(text or ""))]
+        counts[lang].update(words((text or "").lower()))
+    best = {k: sorted(c, key=lambda w: (-c[w], w.encode()))[:common] for k, c in counts.items()}
+    out = []
+    for text, lang in rows:
+        w = words(text)
+        if len(w) < 50 or sum(chars(text or "")) < 200:
+            out.append((None, None))
+            continue
+        seen = Counter(x.lower() for x in w)
+        own, ref = [seen[b] for b in best[lang]], [counts[lang][b] for b in best[lang]]
+        rest = [len(w) - sum(own)], [sum(counts[lang].values()) - sum(ref)]
+        out.append((distance(chars(text), totals[lang]), distance(own + rest[0], ref + rest[1])))
+    return out

@@ -201,12 +201,22 @@ def test_quality(docs, rows):
     assert judged.where("kept").count() > 40
 
 
+def test_quality_distances(docs):
+    judged = quality.judge(docs).select("doc.text", "doc.lang", "char_distance", "word_distance", "base_failed", "kept").collect()
+    want = dict(zip([(r[0], r[1]) for r in judged], brute.quality_distances([(r[0], r[1]) for r in judged])))
+    for r in judged:
+        expected = want[r[0], r[1]]
+        assert tuple(r[2:4]) == (pytest.approx(expected) if expected[0] is not None else (None, None))
+        fits = expected[0] is None or (expected[0] <= quality.MAX_CHAR_DISTANCE and expected[1] <= quality.MAX_WORD_DISTANCE)
+        assert r[5] == (fits and not r[4])
+
+
 def test_quality_many_repeats(spark):
     """Both ways of finding repeated windows."""
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefghijklmnop"[:k]) for _ in range(n)) for k, n in ((2, 60), (5, 300), (9, 2000), (16, 3000), (16, 40))]
     frame = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
-    got = {r[0]: r[1] for r in quality.measure(frame).select("doc.text", "n_repeat_words").collect()}
+    got = {r[0]: r[1] for r in quality.measure(frame).select("text", "__n_repeat_words").collect()}
     assert got == {t: brute.base_quality(t)[4] for t in texts}
 
 
