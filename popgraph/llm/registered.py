@@ -8,18 +8,18 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, suffix
+from popgraph.llm import chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
 from popgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, check: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
+        if check:
+            SQL[name] = check
         return fn
 
     return add
@@ -40,7 +40,7 @@ def op2(spark, sf_dir):
     return cut.select("doc.doc_id", "n_sentences", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.col("kept_text").alias("text"))
 
 
-@query("op3_suffix")
+@query("op3_suffix", sql.SUFFIX)
 def op3(spark, sf_dir):
     cut = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return cut.select(
@@ -49,13 +49,13 @@ def op3(spark, sf_dir):
     )
 
 
-@query("op4_lines")
+@query("op4_lines", sql.LINES)
 def op4(spark, sf_dir):
     cut = lines.drop_template_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc.doc_id", "n_lines", "n_dropped", F.col("kept_text").alias("text"))
 
 
-@query("op5_jaccard")
+@query("op5_jaccard", sql.JACCARD)
 def op5(spark, sf_dir):
     joined = jaccard.join_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "is_first")
@@ -79,7 +79,7 @@ def op7(spark, sf_dir):
     return judged.select("doc.doc_id", *(c for c in judged.columns if c not in ("row", "doc")))
 
 
-@query("op8_decontaminate")
+@query("op8_decontaminate", sql.DECONTAMINATE)
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
