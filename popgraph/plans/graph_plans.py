@@ -352,17 +352,20 @@ def _(t):
 
 
 @plan("GA04_centrality_batch", """
-SELECT p.uuid, CAST(degree AS DOUBLE) AS degree, CAST(NULL AS DOUBLE) AS pagerank, 1.5::DOUBLE AS betweenness FROM q_persons p LEFT JOIN q_deg ON node = 'Person:' || uuid""")
+SELECT p.uuid, CAST(d.degree AS DOUBLE) AS degree, round(r.rank, 6) AS pagerank, 1.5::DOUBLE AS betweenness FROM q_persons p
+LEFT JOIN q_deg d ON d.node = 'Person:' || uuid LEFT JOIN q_pr20 r ON r.node = 'Person:' || uuid""")
 def _(t):
     previous = t.persons.select("uuid", F.lit(1.5).alias("betweenness"), F.lit(-1.0).alias("degree"))
-    return algo.centrality_batch(t.graph, t.persons, previous, ["degree"], 8)
+    scores = algo.centrality_batch(t.graph, t.persons, previous, ["pagerank", "degree"], 8)
+    return scores.withColumn("pagerank", F.round("pagerank", 6))
 
 
 @plan("AG17_score_coverage", """
-SELECT 'degree' AS metric, 1.0::DOUBLE AS coverage UNION ALL SELECT 'betweenness', round((SELECT count(*) FROM q_vec v JOIN q_persons p ON p.uuid = v.uuid) / (SELECT count(*) FROM q_persons), 4) UNION ALL SELECT 'pagerank', 0.0""")
+SELECT 'degree' AS metric, round((SELECT count(DISTINCT uuid) FROM q_persons JOIN q_deg ON node = 'Person:' || uuid) / (SELECT count(*) FROM q_persons), 4) AS coverage UNION ALL
+SELECT 'pagerank', round((SELECT count(DISTINCT uuid) FROM q_persons JOIN q_pr20 ON node = 'Person:' || uuid) / (SELECT count(*) FROM q_persons), 4) UNION ALL SELECT 'betweenness', round((SELECT count(*) FROM q_vec v JOIN q_persons p ON p.uuid = v.uuid) / (SELECT count(*) FROM q_persons), 4)""")
 def _(t):
     previous = t.members.select("uuid", F.lit(0.0).alias("betweenness"))
-    scores = algo.centrality_batch(t.graph, t.persons, previous, ["degree"], 8)
+    scores = algo.centrality_batch(t.graph, t.persons, previous, ["pagerank", "degree"], 8)
     cover = [F.round(F.avg(F.col(m).isNotNull().cast("double")), 4).alias(m) for m in ("pagerank", "degree", "betweenness")]
     return scores.agg(*cover).unpivot([], ["pagerank", "degree", "betweenness"], "metric", "coverage")
 

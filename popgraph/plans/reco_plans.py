@@ -851,7 +851,7 @@ def _(t):
     return rounded(diversity.list_diversity(t.reco.stage1, _item_vectors(t), len(CATEGORIES), 10), "diversity")
 
 
-_LAMBDAS = (0.3, 0.5, 0.7, 0.9)
+_LAMBDAS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 view("q_lbase", rv.summary_sql(_TRUTH, "SELECT uuid, item, rnk FROM q_pool WHERE rnk <= 10", ks=(10,), categories=True).replace("round(value, 6)", "value"))
 for _i, _lam in enumerate(_LAMBDAS):
     view(f"q_lmmr{_i}", _mmr_sql(_S1L, _lam))
