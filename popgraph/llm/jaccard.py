@@ -43,6 +43,7 @@ PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 32, 4096
 HOT = 64
 SPARE = 0.25  # groups beyond d + 1, as a share
 CELL_SETS, CELL_SHINGLES = 16_000, 4_000_000
+MAX_BROADCAST_MEMBERS = 1_000_000  # rows of four numbers
 LEAF, FANOUT, BLOCK = 16, 16, 64
 CHUNK = 2_000_000  # numbers looked at together
 CACHED_WORDS = 500_000
@@ -349,7 +350,9 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, tex
     total = total.where(F.col("sets") > 1).select("cluster", F.when(fits, 1).otherwise(parts).cast("int").alias("parts"))
     chunk = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     placed = members.join(total, "cluster").withColumn("chunk", chunk)
-    met = numbered(docs).select("__row", F.col(text).alias("text")).join(placed, F.col("__row") == F.col("row"))
+    placed = kept(placed, "placed")
+    small = F.broadcast(placed) if placed.count() <= MAX_BROADCAST_MEMBERS else placed  # else texts are shuffled by row
+    met = numbered(docs).select("__row", F.col(text).alias("text")).join(small, F.col("__row") == F.col("row"))
 
     def read(batches):
         hashes = _WordHashes()
