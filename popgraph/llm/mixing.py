@@ -179,7 +179,8 @@ def mix(
     ]
     taken = slots(spark, plan, shards, seed)
     own = segments.withColumnsRenamed({"source": "__source", "block": "__block"})
-    met = taken.join(own, taken["source"].eqNullSafe(own["__source"]) & (taken["block"] == own["__block"]))
+    # both sides grow with the words; the planner takes the slots, made from a short list, for a small table
+    met = taken.join(own.hint("merge"), taken["source"].eqNullSafe(own["__source"]) & (taken["block"] == own["__block"]))
     return met.drop("__source", "__block", "size"), targets
 
 
