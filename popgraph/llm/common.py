@@ -15,6 +15,7 @@ from popgraph.sources.files import scratch_path
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 BATCH_ROWS = 1000
+FILE_ROWS_BITS = 40
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -36,8 +37,21 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Add `__row`, a number per row. `docs` must be a table (files or `kept`), so that it repeats."""
-    return docs.withColumn("__row", F.monotonically_increasing_id())
+    """Add `__row`, a number per row: place of its file among the table's files, then place in the file.
+
+    `docs` must be a table of Parquet files (also `kept`). The numbers do not depend on how an action splits the files,
+    so every action gives a row the same one. Rows that lie in no file are numbered by partition.
+    """
+    if not docs.inputFiles():
+        return docs.withColumn("__row", F.monotonically_increasing_id())
+    own = docs.metadataColumn("_metadata")
+    files = sorted(r[0] for r in docs.select(own["file_path"]).distinct().collect())
+    rows = docs.withColumns({"__file": own["file_path"], "__row": own["row_index"]})
+    if len(files) > 1:
+        first = [(path, i << FILE_ROWS_BITS) for i, path in enumerate(files)]
+        places = docs.sparkSession.createDataFrame(first, "__file string, __first bigint")
+        rows = rows.join(F.broadcast(places), "__file").withColumn("__row", F.col("__first") + F.col("__row")).drop("__first")
+    return rows.drop("__file")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
