@@ -43,7 +43,8 @@ _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.IGNORECASE)
 _IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/+=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/+=-]*\Z")
 _NUMBER = re.compile(r"[0-9+/_=-]+\Z")
-_CAMEL = re.compile(r"(?:[A-Z]?[a-z]{2,})+\Z")
+_LETTERS = re.compile(rf"[A-Za-z]{{{MIN_LENGTH},}}")
+_CAMEL = re.compile(rf"[A-Z]?[a-z]{{2,{MIN_LENGTH - 2}}}(?:[A-Z][a-z]{{2,{MIN_LENGTH - 2}}})+\Z")  # one way to match, as a failing match tries all
 
 _encodings: dict[bytes, object] = {}
 
@@ -60,8 +61,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def excluded(string: str) -> bool:
-    """Known digests and identifiers: they look random, or cost many tokens, but are no secrets."""
-    return any(p.match(string) for p in (_IDENTIFIER, _CAMEL, _NUMBER, _DIGEST, _UUID))
+    """Known digests and identifiers: they look random, or cost many tokens, but are no secrets.
+
+    A part of MIN_LENGTH letters or more makes no identifier by its letter case: its tokens say whether it is words.
+    """
+    if any(p.match(string) for p in (_CAMEL, _NUMBER, _DIGEST, _UUID)):
+        return True
+    return bool(_IDENTIFIER.match(string)) and not _LETTERS.search(string)
 
 
 def random_spans(text: str, encode, max_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -1,9 +1,13 @@
 """Inputs on which an earlier form of an operator did less than its whole job."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
-from popgraph.llm import mixing
+from popgraph.llm import mixing, secrets
 from popgraph.llm.common import kept, numbered, prepare
 
 
@@ -49,3 +53,21 @@ def test_mix_gets_its_own_texts_when_executors_register_late(spark, parallelism)
     texts = mixing.materialise(mixed, docs).collect()
     assert len(texts) == mixed.count()
     assert all(w.endswith(f"x{r['doc_id']}") for r in texts for w in r["text"].split(" "))
+
+
+def test_letters_before_another_end_take_no_time():
+    code = "from popgraph.llm.secrets import excluded; print(excluded('a' * 60 + '1'), excluded('Abcc' * 3000 + '1'), excluded('getLongNameForThisThing'))"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=20)
+    assert run.stdout.split() == ["False", "False", "True"]
+
+
+def test_random_letters_of_one_case_are_found(spark):
+    texts = {
+        "key is qxzjvkwbnmrtplghfdsc ok": "tokens:7:27", "key is QXZJVKWBNMRTPLGHFDSC ok": "tokens:7:27",
+        "key is Qxzjvkwbnmrtplghfdsc ok": "tokens:7:27", "key is my_qxzjvkwbnmrtplghfdsc ok": "tokens:7:30",
+        "some internationalizations and INTERNATIONALIZATION": "", "hahahahahahahahahahahaha": "",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r[0]: r[1] for r in secrets.scan_secrets(frame).select("doc.text", "spans").collect()}
+    assert found == texts
