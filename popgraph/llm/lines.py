@@ -8,7 +8,8 @@ have a line of it and at least half of its tokens are no marks. Lines of a recur
 in all documents but the first (smallest id) that has one.
 
 Everything is DataFrame code. Leaves are counted before anything is joined; only lines of leaves with
-`min_docs` lines go on, each different line once. A template that most documents share is counted in two
+`min_docs` lines go on, each different line once; its tokens meet the frequent ones of their place, so a leaf
+with many of either spreads over its tokens. A template that most documents share is counted in two
 steps, so its rows never meet in one task.
 
 Defined cases: null text stays null and has no lines; lines of fewer than DEPTH tokens are kept; lines may have
@@ -28,6 +29,7 @@ MIN_DOCS = 10
 MIN_CONSTANT = 0.5
 MARK = "<*>"
 MAX_BROADCAST_LEAVES = 2_000_000
+MAX_BROADCAST_TOKENS = 200_000
 
 
 def masked(line: Column) -> Column:
@@ -58,15 +60,15 @@ def template_lines(
     texts = lines.join(small, "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("tokens").alias("tokens"))
     weights = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     distinct = kept(texts.join(weights, "h"), "templates")
-    tokens = distinct.select("h", "leaf", "n", F.posexplode("tokens").alias("at", "token"))
+    constants = F.size(F.filter(F.slice("tokens", 1, depth), lambda t: t != MARK))  # these stand, as all lines of the leaf have them
+    heads = distinct.select("h", "leaf", F.size("tokens").alias("size"), constants.alias("fixed"))
+    tokens = distinct.select("h", "leaf", "n", F.posexplode("tokens").alias("at", "token")).where((F.col("at") >= depth) & (F.col("token") != MARK))
     stands = tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    constant = stands.where(F.col("token") != MARK).groupBy("leaf").agg(F.collect_list(F.struct("at", "token")).alias("stands"))
-    generalised = distinct.join(constant, "leaf").select(
-        "h", "leaf",
-        F.transform("tokens", lambda t, i: F.when(F.array_contains("stands", F.struct(i.alias("at"), t.alias("token"))), t).otherwise(MARK)).alias("t"),
-    )
-    generalised = generalised.where(F.size(F.filter("t", lambda t: t != MARK)) >= min_constant * F.size("t"))
-    named = generalised.select("h", F.xxhash64("leaf", "t").alias("template"))
+    stands = kept(stands, "stands")
+    few = F.broadcast(stands) if stands.count() <= MAX_BROADCAST_TOKENS else stands
+    rest = tokens.join(few, ["leaf", "at", "token"]).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
+    generalised = heads.join(rest, "h", "left").where(F.col("fixed") + F.coalesce(F.size("t"), F.lit(0)) >= min_constant * F.col("size"))
+    named = generalised.select("h", F.xxhash64("leaf", F.coalesce("t", F.array().cast("array<struct<at:int,token:string>>"))).alias("template"))
     ids = docs.select("__row", F.col(doc_id).alias("__id"))
     met = kept(places.join(named, "h").select("__row", "__line", "template").join(ids, "__row"), "lines")
     once = met.select("template", "__row", "__id").distinct()

@@ -1,13 +1,14 @@
 """Inputs on which an earlier form of an operator did less than its whole job."""
 
 import os
+import re
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from popgraph.llm import mixing, secrets
+from popgraph.llm import lines, mixing, secrets
 from popgraph.llm.common import kept, numbered, prepare
 
 
@@ -71,3 +72,19 @@ def test_random_letters_of_one_case_are_found(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "text string")
     found = {r[0]: r[1] for r in secrets.scan_secrets(frame).select("doc.text", "spans").collect()}
     assert found == texts
+
+
+def test_tokens_of_a_hot_leaf_are_not_gathered(spark, monkeypatch):
+    prepare(spark)
+    plans = []
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    text = F.concat(F.lit("a b c d "), F.concat(F.lit("w"), F.translate((F.col("id") % 40).cast("string"), "0123456789", "qrstuvwxyz")), F.lit(" end"))
+    docs = kept(spark.range(800).select(F.col("id").alias("doc_id"), text.alias("text")), "docs")
+    monkeypatch.setattr(lines, "kept", spied)
+    cut = lines.drop_template_lines(docs).select("doc.doc_id", "n_dropped").collect()
+    assert {r[0] for r in cut if not r[1]} == set(range(40)) and len(cut) == 800
+    assert plans and not any(re.search(r"Aggregate \[leaf#\w+\], .*collect_list", p) for p in plans)
