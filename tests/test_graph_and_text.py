@@ -145,7 +145,7 @@ def test_measured_join_both_ways(spark):
     big = spark.range(400).select(F.when(F.col("id") < 300, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     small = spark.createDataFrame([("hot", 1), ("301", 2), ("302", 3)], "k string, v int")
     a = {tuple(r) for r in skew.join_measured(big, small, "k", "id").collect()}
-    b = {tuple(r) for r in skew.join_measured(big, small, "k", "id", max_rows=0).collect()}
+    b = {tuple(r) for r in skew.join_measured(big, small, "k", "id", max_bytes=0).collect()}
     assert a == b and len(a) == 302
 
 
