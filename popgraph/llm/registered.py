@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
+from popgraph.llm import bond, chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
 from popgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,13 @@ def op10(spark, sf_dir):
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
+@query("op13_bond", sql.NEGATIVES)
+def op13(spark, sf_dir):
+    vectors, own = table(spark, sf_dir, "embeddings"), F.col("label")
+    label = F.when(F.col("vec_id") % 7 == 0, (own + 1) % 10).otherwise(own)
+    return bond.mine(vectors, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0).drop("anchor")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -315,3 +315,25 @@ def quality_distances(rows, common=20):
         rest = [len(w) - sum(own)], [sum(counts[lang].values()) - sum(ref)]
         out.append((distance(chars(text), totals[lang]), distance(own + rest[0], ref + rest[1])))
     return out
+
+
+def hard_negatives(rows, n_positives=5, n_negatives=10, window=(30, 90)):
+    """[(id, vector, label, is anchor)] in the order of the table -> [(anchor place, anchor id, positive, rank, negative, scores)]."""
+    own = []
+    for place, (id_, vector, label, anchor) in enumerate(rows):
+        if label is not None and vector is not None and all(x is not None and math.isfinite(x) for x in vector):
+            own.append((place, id_, [math.floor(256 * x) for x in vector], label, anchor))
+
+    def order(x):
+        return -x[0], x[2] is None, x[2] or 0, x[1]
+
+    out = []
+    for place, id_, vector, label, anchor in own:
+        if not anchor:
+            continue
+        scored = [(sum(a * b for a, b in zip(vector, v)), p, i, lab) for p, i, v, lab, _ in own if p != place]
+        for s, _, i, _ in sorted((x for x in scored if x[3] == label), key=order)[:n_positives]:
+            inside = [x for x in scored if x[3] != label and window[0] * s <= 100 * x[0] <= window[1] * s]
+            for rank, x in enumerate(sorted(inside, key=order)[:n_negatives], 1):
+                out.append((place, id_, i, rank, x[2], s, x[0]))
+    return out
