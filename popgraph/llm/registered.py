@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import bond, chat, ctw, decontaminate, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
+from popgraph.llm import bond, chat, ctw, decontaminate, idfile, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
 from popgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +125,13 @@ def op10(spark, sf_dir):
     return chat.read_back(chat.format_chat(turns.unionByName(extra)))
 
 
+@query("op11_idfile")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = idfile.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 @query("op13_bond", sql.NEGATIVES)
 def op13(spark, sf_dir):
     vectors, own = table(spark, sf_dir, "embeddings"), F.col("label")
