@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popgraph.llm import bond, chat, ctw, decontaminate, idfile, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
+from popgraph.llm import align, bond, chat, ctw, decontaminate, idfile, jaccard, lines, mixing, quality, secrets, spans, sql, suffix
 from popgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,13 @@ def op11(spark, sf_dir):
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+@query("op12_align")
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned, _ = align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select("doc.doc_id", *(c for c in aligned.columns if c != "doc"))
+
+
 @query("op13_bond", sql.NEGATIVES)
 def op13(spark, sf_dir):
     vectors, own = table(spark, sf_dir, "embeddings"), F.col("label")
