@@ -16,8 +16,9 @@ A document's set are its distinct shingles of N words, as 64-bit hashes. Equal s
    buckets are clusters as they are.
 3. In a cluster, the same bound chooses the sets that are verified on their shingles. Sets already connected are not
    verified again, as only components are asked for, and no pair of sets is listed but one a step of a component.
-4. A cluster over CELL_SETS sets or CELL_SHINGLES shingles is cut into chunks, and each pair of chunks is a cell
-   of its own, so no task holds more than two chunks.
+4. A cluster over CELL_SETS sets or CELL_SHINGLES shingles is cut into chunks, twice by different hashes; links inside these
+   join most sets that copies make. Sets outside the largest component of that are then looked at with every chunk of it
+   and with each other, cell by cell. No task holds more than a cell, and a large group of copies meets each chunk once.
 
 Defined cases: null and empty texts, and texts without words, have no shingle and link with nothing (their own
 component); fewer than N words make one shingle; equal ids are documents of their own, and a component's id is the
@@ -42,7 +43,7 @@ WORDS, PERCENT = 3, 90
 PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 32, 4096
 HOT = 64
 SPARE = 0.25  # groups beyond d + 1, as a share
-CELL_SETS, CELL_SHINGLES = 16_000, 4_000_000
+CELL_SETS, CELL_SHINGLES = 1000, 1_000_000
 MAX_BROADCAST_MEMBERS = 1_000_000  # rows of four numbers
 LEAF, FANOUT, BLOCK = 16, 16, 64
 CHUNK = 2_000_000  # numbers looked at together
@@ -200,7 +201,18 @@ def clusters(docs: DataFrame, classes: DataFrame, n: int, percent: int, text: st
     among = crowded.join(few, ["k1", "slab"], "left_semi").select("key", "k1").distinct()
     rest = among.select(F.col("k1").alias("a"), F.min("k1").over(by_key).alias("b"))
     edges = bucket_edges(buckets, classes, percent).unionByName(rest)
-    return components(edges).select(F.col("node").alias("k1"), F.col("comp").alias("cluster"))
+    return components(contracted(edges)).select(F.col("node").alias("k1"), F.col("comp").alias("cluster"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges that connect the same sets: a set keeps its smallest partner, and its other partners go there instead of to it.
+
+    The sets of a group of copies have the same few partners, so about one edge a set is left. A set has no more partners than keys.
+    """
+    partners = edges.where(F.col("a") != F.col("b")).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    least = F.get("bs", F.lit(0))
+    own = partners.select("a", least.alias("b"))
+    return own.unionByName(partners.select(F.explode(F.expr("slice(bs, 2, size(bs))")).alias("a"), least.alias("b"))).distinct()
 
 
 def bucket_edges(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -211,11 +223,29 @@ def bucket_edges(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFr
     def solve(bucket):
         k1, size, vectors = zip(*bucket)
         found = [np.frombuffer(v, dtype=np.uint16 if n < 1 << 16 else np.int32).astype(np.int32) for v, n in zip(vectors, size)]
-        return [(k1[a], k1[b]) for a, b in connected(folded(found), np.array(size, dtype=np.int64), percent, None)]
+        return stars(k1, connected(folded(found), np.array(size, dtype=np.int64), percent, None))
 
     return _by_group(dealt, ["bucket"], ["k1", "size", "counts"], solve)
 
 
+def stars(names: tuple, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(name, smallest name of its component) for linked places of `names`, which rise.
+
+    Near copies share many buckets; hung on the smallest, they give the same edge in most of them.
+    """
+    label = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while label[x] != x:
+            label[x] = x = label[label[x]]
+        return x
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        label[high] = low
+    return [(names[i], names[find(i)]) for i in range(len(names)) if find(i) != i]
+
+
 def _by_group(dealt: DataFrame, keys: list[str], columns: list[str], solve) -> DataFrame:
     """(a, b) from `solve(rows)` for every group of sorted rows with at least two."""
 
@@ -283,15 +313,18 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def connected(vectors: np.ndarray, sizes: np.ndarray, percent: int, linked_sets) -> list[tuple[int, int]]:
+def connected(
+    vectors: np.ndarray, sizes: np.ndarray, percent: int, linked_sets, known: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Edges that connect what pairs connect, at most one less than sets: positions in `vectors`.
 
-    Pairs are those whose bound allows a link and, if given, for which `linked_sets(i, j)` is true.
+    Pairs are those whose bound allows a link and, if given, for which `linked_sets(i, j)` is true. Places with the same
+    number in `known` are connected already.
     """
     tree = RTree(vectors, sizes)
     order = tree.order
     v, sizes = vectors[order], sizes[order]
-    label, found = np.arange(len(sizes)), []
+    label, found = np.arange(len(sizes)) if known is None else known[order].copy(), []
 
     def overlap(q: np.ndarray, corner: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Sum of coordinate minima of points q and corners `at`, piece by piece."""
@@ -336,21 +369,19 @@ def connected(vectors: np.ndarray, sizes: np.ndarray, percent: int, linked_sets)
     return found
 
 
-def cell_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def cell_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what links connect, at most one less than sets: positions in `sets`."""
     vectors, sizes = folded([counts(s) for s in sets]), np.array([len(s) for s in sets], dtype=np.int64)
-    return connected(vectors, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent))
+    return connected(vectors, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent), known)
 
 
-def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
-    """(a, b) rows of sets that link, enough to connect each component. `members` = (row, size, cluster)."""
+def cluster_sets(members: DataFrame, docs: DataFrame, n: int, text: str) -> DataFrame:
+    """(row, size, cluster, parts, found): shingles of the clusters' sets and the number of chunks of each cluster."""
     total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("shingles"))
     parts = F.ceil(F.greatest(F.col("sets") / (CELL_SETS / 2), F.col("shingles") / (CELL_SHINGLES / 2)))
     fits = (F.col("sets") <= CELL_SETS) & (F.col("shingles") <= CELL_SHINGLES)
     total = total.where(F.col("sets") > 1).select("cluster", F.when(fits, 1).otherwise(parts).cast("int").alias("parts"))
-    chunk = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    placed = members.join(total, "cluster").withColumn("chunk", chunk)
-    placed = kept(placed, "placed")
+    placed = kept(members.join(total, "cluster").select("row", "size", "cluster", "parts"), "placed")
     small = F.broadcast(placed) if placed.count() <= MAX_BROADCAST_MEMBERS else placed  # else texts are shuffled by row
     met = numbered(docs).select("__row", F.col(text).alias("text")).join(small, F.col("__row") == F.col("row"))
 
@@ -358,21 +389,56 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, tex
         hashes = _WordHashes()
         for batch in batches:
             found = [shingles(v.as_py(), n, hashes).tobytes() for v in batch.column("text")]
-            names = ["cluster", "chunk", "parts", "row"]
+            names = ["row", "size", "cluster", "parts"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, "found"])
 
-    sets = met.select("cluster", "chunk", "parts", "row", "text").mapInArrow(read, "cluster bigint, chunk int, parts int, row bigint, found binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = sets.withColumn("other", other).select(
-        "cluster", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "row", "found"
-    )
-    cells = cells.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "row")
+    own = met.select("row", "size", "cluster", "parts", "text").mapInArrow(read, "row bigint, size bigint, cluster bigint, parts int, found binary")
+    return kept(own, "shingles")
 
-    def solve(cell):
-        rows, found = zip(*cell)
-        return [(rows[a], rows[b]) for a, b in cell_links([np.frombuffer(f, dtype=np.uint64) for f in found], percent)]
 
-    return _by_group(cells, ["cluster", "x", "y"], ["row", "found"], solve)
+def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """(a, b) rows of sets that link, enough to connect each component. `members` = (row, size, cluster)."""
+    sets = cluster_sets(members, docs, n, text)
+
+    def solve(cell):
+        rows, found, known = zip(*cell)
+        labels = {}
+        known = np.array([labels.setdefault(("row", r) if k is None else k, i) for i, (r, k) in enumerate(zip(rows, known))])
+        return stars(rows, cell_links([np.frombuffer(f, dtype=np.uint64) for f in found], percent, known))
+
+    def cells(dealt: DataFrame, keys: list[str]) -> DataFrame:
+        return _by_group(dealt.repartition(*keys).sortWithinPartitions(*keys, "row"), keys, ["row", "found", "known"], solve)
+
+    # 1. chunks of the first dealing, for clusters of several chunks also of a second one
+    dealing = F.explode(F.when(F.col("parts") > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    inside = sets.withColumn("dealing", dealing).withColumn("chunk", F.pmod(F.xxhash64("row", "dealing"), "parts").cast("int"))
+    near = kept(cells(inside.withColumn("known", F.lit(None).cast("bigint")), ["cluster", "dealing", "chunk"]), "near")
+    large = sets.where("parts > 1")
+    if large.isEmpty():
+        return near
+
+    # 2. sets outside the largest component against its chunks and against each other
+    comps = components(near).withColumnRenamed("node", "row")
+    named = kept(large.select("row", "size", "cluster", "parts").join(comps, "row", "left").withColumn("known", F.coalesce("comp", "row")).drop("comp"), "named")
+    heads = named.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("sets")).groupBy("cluster").agg(F.max_by("known", F.struct("sets", "known")).alias("head"))
+    named = named.join(F.broadcast(heads), "cluster").withColumn("in_head", F.col("known") == F.col("head"))  # few clusters are so large
+    rest = named.where("not in_head").groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("shingles"))
+    rest = rest.select("cluster", F.greatest(F.ceil(F.col("sets") / (CELL_SETS / 2)), F.ceil(F.col("shingles") / (CELL_SHINGLES / 2))).cast("int").alias("others"))
+    named = named.join(F.broadcast(rest), "cluster")  # clusters that are one component are done
+    met = sets.select("row", "found").join(named.select("row", "cluster", "parts", "others", "known", "in_head"), "row")
+    chunk = F.pmod(F.xxhash64("row", F.lit(3)), F.when(F.col("in_head"), F.col("parts")).otherwise(F.col("others"))).cast("int")
+    met = met.withColumn("chunk", chunk)
+
+    def cell(kind: int, x, y):
+        return F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    # a chunk of the largest component with a chunk of the others (0), and two chunks of the others (1)
+    heads_of = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: cell(0, x, F.col("chunk")))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda y: cell(1, F.least(y, "chunk"), F.greatest(y, "chunk")))
+    of_head = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda y: cell(0, F.col("chunk"), y))
+    across = met.select("cluster", "row", "found", "known", F.explode(F.when(F.col("in_head"), of_head).otherwise(F.concat(heads_of, with_others))).alias("cell"))
+    across = across.select("cluster", "cell.kind", "cell.x", "cell.y", "row", "found", "known")
+    return near.unionByName(cells(across, ["cluster", "kind", "x", "y"]))
 
 
 def join_sets(

@@ -10,7 +10,7 @@ in all documents but the first (smallest id) that has one.
 Everything is DataFrame code. Leaves are counted before anything is joined; only lines of leaves with
 `min_docs` lines go on, each different line once; its tokens meet the frequent ones of their place, so a leaf
 with many of either spreads over its tokens. A template that most documents share is counted in two
-steps, so its rows never meet in one task.
+steps, and its lines meet the verdict by broadcast or over salts, so its rows never meet in one task.
 
 Defined cases: null text stays null and has no lines; lines of fewer than DEPTH tokens are kept; lines may have
 any length; documents with equal ids go by row; a document whose every line is dropped gets an empty
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from popgraph.functions.skew import join_measured
 from popgraph.llm.common import SPACE, WORD, kept, numbered
 
 DEPTH = 4
@@ -30,6 +31,7 @@ MIN_CONSTANT = 0.5
 MARK = "<*>"
 MAX_BROADCAST_LEAVES = 2_000_000
 MAX_BROADCAST_TOKENS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def masked(line: Column) -> Column:
@@ -75,7 +77,8 @@ def template_lines(
     first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__row").alias("row")))
     recurring = once.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), first.alias("first")).where(F.col("docs") >= min_docs)
     recurring = recurring.select("template", F.col("first.row").alias("__first"))
-    return met.join(recurring, "template").where(F.col("__row") != F.col("__first")).select("__row", "__line")
+    found = join_measured(met, recurring, "template", "__row", MAX_BROADCAST_BYTES)
+    return found.where(F.col("__row") != F.col("__first")).select("__row", "__line")
 
 
 def drop_template_lines(docs: DataFrame, text: str = "text", **how) -> DataFrame:

@@ -299,3 +299,29 @@ def test_no_training_texts(spark):
 def test_decontaminate_without_items(spark, docs, rows):
     items = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_benchmark(docs, items).where("n_hit = 0").count() == len(rows)
+
+
+@pytest.mark.parametrize("copies", [50, 250])
+def test_near_copies_give_few_edges(spark, copies):
+    """Groups of near copies reach `components` with about one edge a set."""
+    prepare(spark)
+    rng = random.Random(copies)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(4000)]
+    base, texts = [rng.choice(words) for _ in range(300)], []
+    for _ in range(copies):
+        own = list(base)
+        for at in rng.sample(range(300), 3):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    table = kept(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "docs")
+    own = jaccard.sizes_and_classes(numbered(table), 5, "text", "doc_id")
+    classes = kept(own.groupBy("k1", "k2", "size").agg(F.min("row").alias("rep"), F.first("counts").alias("counts")), "classes")
+    seen = {}
+    spy = lambda edges: seen.setdefault("edges", edges.distinct().count()) and components(edges)
+    before, jaccard.components = jaccard.components, spy
+    try:
+        found = jaccard.clusters(table, classes, 5, 80, "text", jaccard.HOT)
+        assert found.count() == copies and found.select("cluster").distinct().count() == 1
+    finally:
+        jaccard.components = before
+    assert seen["edges"] <= 1.5 * copies
