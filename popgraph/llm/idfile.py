@@ -59,17 +59,17 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
-        """Encode new words; a letter followed by marks only is the word, then the marks."""
+        """Encode words that are not known; a letter followed by marks only is the word, then the marks."""
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         cores, whole = {}, []
-        for word in words - self.words.keys():
+        for word in words:
             core = word.rstrip(TAIL)
             if core and core is not word and core[-1].isalpha():
                 cores[word] = core, word[len(core) :]
             else:
                 whole.append(word)
-        need = {part for pair in cores.values() for part in pair} - self.words.keys()
+        need = {part for pair in cores.values() for part in pair if part not in self.words}
         whole = [*whole, *need.difference(whole)]
         self.words.update(zip(whole, self.plain(whole)))
         self.words.update((word, self.words[core] + self.words[tail]) for word, (core, tail) in cores.items())
