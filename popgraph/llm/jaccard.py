@@ -18,7 +18,7 @@ A document's set are its distinct shingles of N words, as 64-bit hashes. Equal s
    verified again, as only components are asked for, and no pair of sets is listed but one a step of a component.
 4. A cluster over CELL_SETS sets or CELL_SHINGLES shingles is cut into chunks, twice by different hashes; links inside these
    join most sets that copies make. Sets outside the largest component of that are then looked at with every chunk of it
-   and with each other, cell by cell. No task holds more than a cell, and a large group of copies meets each chunk once.
+   and with each other, in cells of at most WIDE_SETS sets and WIDE_SHINGLES shingles. No task holds more than a cell, and a large group of copies meets each chunk once.
 
 Defined cases: null and empty texts, and texts without words, have no shingle and link with nothing (their own
 component); fewer than N words make one shingle; equal ids are documents of their own, and a component's id is the
@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,7 @@ PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 8, 32, 4096
 HOT = 64
 SPARE = 0.25  # groups beyond d + 1, as a share
 CELL_SETS, CELL_SHINGLES = 1000, 1_000_000
+WIDE_SETS, WIDE_SHINGLES = 16_000, 4_000_000  # cells of what is left after these
 MAX_BROADCAST_MEMBERS = 1_000_000  # rows of four numbers
 LEAF, FANOUT, BLOCK = 16, 16, 64
 CHUNK = 2_000_000  # numbers looked at together
@@ -421,10 +422,14 @@ def cluster_links(members: DataFrame, docs: DataFrame, n: int, percent: int, tex
     comps = components(near).withColumnRenamed("node", "row")
     named = kept(large.select("row", "size", "cluster", "parts").join(comps, "row", "left").withColumn("known", F.coalesce("comp", "row")).drop("comp"), "named")
     heads = named.groupBy("cluster", "known").agg(F.count(F.lit(1)).alias("sets")).groupBy("cluster").agg(F.max_by("known", F.struct("sets", "known")).alias("head"))
-    named = named.join(F.broadcast(heads), "cluster").withColumn("in_head", F.col("known") == F.col("head"))  # few clusters are so large
-    rest = named.where("not in_head").groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("shingles"))
-    rest = rest.select("cluster", F.greatest(F.ceil(F.col("sets") / (CELL_SETS / 2)), F.ceil(F.col("shingles") / (CELL_SHINGLES / 2))).cast("int").alias("others"))
-    named = named.join(F.broadcast(rest), "cluster")  # clusters that are one component are done
+    named = named.drop("parts").join(F.broadcast(heads), "cluster").withColumn("in_head", F.col("known") == F.col("head"))  # few clusters are so large
+
+    def chunks(own: Column) -> Column:
+        sets_of, shingles_of = F.count_if(own) / (WIDE_SETS / 2), F.sum(F.when(own, F.col("size")).otherwise(0)) / (WIDE_SHINGLES / 2)
+        return F.ceil(F.greatest(sets_of, shingles_of)).cast("int")
+
+    left = named.groupBy("cluster").agg(chunks(F.col("in_head")).alias("parts"), chunks(~F.col("in_head")).alias("others"))
+    named = named.join(F.broadcast(left.where("others > 0")), "cluster")  # clusters that are one component are done
     met = sets.select("row", "found").join(named.select("row", "cluster", "parts", "others", "known", "in_head"), "row")
     chunk = F.pmod(F.xxhash64("row", F.lit(3)), F.when(F.col("in_head"), F.col("parts")).otherwise(F.col("others"))).cast("int")
     met = met.withColumn("chunk", chunk)

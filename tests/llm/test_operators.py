@@ -117,6 +117,7 @@ def test_jaccard_cells_meet(spark, docs, rows, monkeypatch):
     texts = [" ".join(w if rng.random() > 0.02 else f"v{rng.randint(0, 9)}" for w in base) for _ in range(60)]
     many = kept(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "docs")
     monkeypatch.setattr(jaccard, "CELL_SETS", 10)
+    monkeypatch.setattr(jaccard, "WIDE_SETS", 16)
     found = jaccard.join_sets(many, 3, 80).select("id", "n_shingles", "component_id").collect()
     same(found, brute.jaccard_components(list(enumerate(texts)), 3, 80))
 
