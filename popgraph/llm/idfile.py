@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,13 @@ PIECE = "shard int, number bigint, key bigint, row bigint, start bigint, is_firs
 _encoders: dict[tuple[bytes, bool], Encoder] = {}
 
 
+def packed(ids: list[int]) -> bytes:
+    numbers = array("I", ids)
+    if sys.byteorder != "little":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers."""
 
@@ -54,9 +63,38 @@ class Encoder:
         self.tokenizer, self.by_word = Tokenizer.from_str(raw.decode()), by_word
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.words: dict[str, bytes] = {}
+        self.letters = self.letter_table()
+
+    def letter_table(self) -> dict[int, str]:
+        """What the normaliser and the splitter make of each letter up to U+00FF; letters they treat otherwise are left out.
+
+        A word of such letters is one token string for the model, so it goes to the model directly.
+        """
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if not (self.by_word and normal and split):
+            return {}
+        table = {}
+        for code in range(0x100):
+            c = chr(code)
+            pair = split.pre_tokenize_str(normal.normalize_str(c + "a" + c)) if c.isalpha() else []
+            alone = split.pre_tokenize_str(normal.normalize_str(c)) if c.isalpha() else []
+            if len(pair) == len(alone) == 1 and pair[0][0] == alone[0][0] + "a" + alone[0][0]:
+                table[code] = alone[0][0]
+        return table
+
+    def of_letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of those words that consist of such letters; words the splitter makes the same of are encoded once."""
+        model, letters, done, out = self.tokenizer.model, self.letters, {}, {}
+        for word in words:
+            if word.isalpha() and max(word) < "\u0100" and all(map(letters.__contains__, map(ord, word))):
+                form = word.translate(letters)
+                if form not in done:
+                    done[form] = packed([t.id for t in model.tokenize(form)])
+                out[word] = done[form]
+        return out
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are not known; a letter followed by marks only is the word, then the marks."""
@@ -71,7 +109,10 @@ class Encoder:
                 whole.append(word)
         need = {part for pair in cores.values() for part in pair if part not in self.words}
         whole = [*whole, *need.difference(whole)]
-        self.words.update(zip(whole, self.plain(whole)))
+        known = self.of_letters(whole)
+        rest = [w for w in whole if w not in known]
+        self.words.update(known)
+        self.words.update(zip(rest, self.plain(rest)))
         self.words.update((word, self.words[core] + self.words[tail]) for word, (core, tail) in cores.items())
 
     def encode(self, text: str) -> bytes:
