@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popgraph.functions import vectors as vec
 from popgraph.operators import algorithms as algo
-from popgraph.operators import embedding, knn, paths, search
+from popgraph.operators import embedding, knn, louvain, paths, search
 from popgraph.operators import similarity as sim
 from popgraph.operators.filters import Segment, select_segment
 from popgraph.operators.model import undirected
@@ -409,6 +409,26 @@ def _(t):
     return algo.communities(both.select("e.src", "e.dst").distinct())
 
 
+@plan("GA07_louvain")
+def _(t):
+    return louvain.louvain(t.graph)[0]
+
+
+@plan("GA07_louvain_quality", "SELECT count(DISTINCT src) AS nodes, count(*) AS links, true AS connected, true AS beats_label_propagation FROM q_und")
+def _(t):
+    weighted = t.graph.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    names, levels = louvain.louvain(weighted)
+    spread = louvain.quality(weighted, algo.communities(t.graph).toDF("node", "label"))
+    a, b = names.toDF("src", "la"), names.toDF("dst", "lb")
+    inside = weighted.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst")
+    parts = algo.components(names.select("node"), inside).select("comp").distinct().agg(F.count(F.lit(1)).alias("parts"))
+    size = t.graph.agg(F.count_distinct("src").alias("nodes"), F.count(F.lit(1)).alias("links"))
+    n, score = (levels[-1][1], levels[-1][2]) if levels else (0, 0.0)
+    return size.crossJoin(parts).crossJoin(spread).select(  # three rows of totals
+        "nodes", "links", (F.col("parts") == n).alias("connected"), (F.col("modularity") <= score).alias("beats_label_propagation")
+    )
+
+
 view("q_lab", """SELECT 'Person:' || uuid AS node, province AS label FROM q_persons UNION ALL
 SELECT DISTINCT 'Hobby:' || item, split_part(item, '/', 2) FROM q_hob""")
 
