@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from popgraph.functions import vectors as vec
 from popgraph.operators import algorithms as algo
-from popgraph.operators import embedding, knn, louvain, paths, search
+from popgraph.operators import embedding, knn, louvain, paths, search, vector_index
 from popgraph.operators import similarity as sim
 from popgraph.operators.filters import Segment, select_segment
 from popgraph.operators.model import undirected
 from popgraph.plans.registry import plan, view
+from popgraph.sources.files import scratch_path
 
 _UNIT = "list_transform(embedding, lambda x : CAST(x AS DOUBLE))"
 view("q_unit", f"SELECT uuid, label, {_UNIT} AS v FROM q_vec")
@@ -528,6 +529,29 @@ def _(t):
     return knn.search(t.vectors, q, 10).withColumn("score", F.round("score", 6))
 
 
+def _index(t):
+    path = scratch_path(t.spark, "vector-index")
+    vectors = t.vectors.select("uuid", "embedding")
+    vector_index.write_index(vectors, path, vector_index.fit(vectors))
+    return path
+
+
+@plan("VE01_stored_index", "SELECT query, uuid, round(score, 6) AS score, CAST(rn AS INTEGER) AS rnk FROM q_hits WHERE rn <= 10")
+def _(t):
+    q = _centroids(t).select(F.col("label").cast("string").alias("query"), "embedding")
+    return vector_index.search_index(t.spark, _index(t), q, 10).withColumn("score", F.round("score", 6))
+
+
+@plan("VE01_index_recall", "SELECT count(*) AS queries, true AS recall_reached FROM q_unit WHERE CAST(uuid AS BIGINT) % 50 = 0")
+def _(t):
+    q = t.vectors.where(F.col("uuid").cast("long") % 50 == 0).select(F.col("uuid").alias("query"), "embedding")
+    path = _index(t)
+    lists = len(vector_index.read_model(t.spark, path).centres)
+    found = vector_index.search_index(t.spark, path, q, 10, n_probe=-(-2 * lists // 3), rerank=64)
+    got = vector_index.recall(found, vector_index.search_index(t.spark, path, q, 10))
+    return got.select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @plan("VE02_l2_normalize", "SELECT uuid, CAST(pos - 1 AS INTEGER) AS pos, round(x / sqrt(list_dot_product(v, v)), 6) + 0.0 AS x FROM (SELECT uuid, v, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM q_unit)")
 def _(t):
     rows = t.vectors.select("uuid", F.posexplode(vec.l2_normalize(F.col("embedding"))).alias("pos", "x"))
