@@ -107,10 +107,11 @@ def k_hop(adj: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Nodes within `depth` hops of the seeds with their distance."""
     if not 0 <= depth <= 3:
         raise ValueError("depth must be between 0 and 3")
+    g = Graph(adj)
     reached = seeds.select("node", F.lit(0).alias("hops")).distinct()
     frontier = reached
     for d in range(1, depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(adj.select("src", "dst"), "src")
+        step = g.send(frontier.select("node"))
         frontier = cut_lineage(
             step.select(F.col("dst").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
             .withColumn("hops", F.lit(d))

@@ -371,7 +371,7 @@ def _(t):
     return scores.agg(*cover).unpivot([], ["pagerank", "degree", "betweenness"], "metric", "coverage")
 
 
-DIM = 32
+DIM = 256
 view("q_rp0", f"""SELECT node, i AS pos, CASE WHEN h < '2aaa' THEN sqrt(3.0::DOUBLE) WHEN h >= 'd555' THEN -sqrt(3.0::DOUBLE) ELSE 0.0::DOUBLE END AS x
 FROM (SELECT node, i, substr(md5(node || ':' || i), 1, 4) AS h FROM q_deg, range({DIM}) r(i))""")
 for _i in range(1, 5):
@@ -415,19 +415,15 @@ def _(t):
     return louvain.louvain(t.graph)[0]
 
 
-@plan("GA07_louvain_quality", "SELECT count(DISTINCT src) AS nodes, count(*) AS links, true AS connected, true AS beats_label_propagation FROM q_und")
+@plan("GA07_louvain_quality", "SELECT count(DISTINCT src) AS nodes, count(*) AS links, true AS connected, true AS above_chance FROM q_und")
 def _(t):
-    weighted = t.graph.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    names, levels = louvain.louvain(weighted)
-    spread = louvain.quality(weighted, algo.communities(t.graph).toDF("node", "label"))
+    names, levels = louvain.louvain(t.graph)
     a, b = names.toDF("src", "la"), names.toDF("dst", "lb")
-    inside = weighted.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst")
+    inside = t.graph.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("la = lb").select("src", "dst")
     parts = algo.components(names.select("node"), inside).select("comp").distinct().agg(F.count(F.lit(1)).alias("parts"))
     size = t.graph.agg(F.count_distinct("src").alias("nodes"), F.count(F.lit(1)).alias("links"))
     n, score = (levels[-1][1], levels[-1][2]) if levels else (0, 0.0)
-    return size.crossJoin(parts).crossJoin(spread).select(  # three rows of totals
-        "nodes", "links", (F.col("parts") == n).alias("connected"), (F.col("modularity") <= score).alias("beats_label_propagation")
-    )
+    return size.crossJoin(parts).select("nodes", "links", (F.col("parts") == n).alias("connected"), F.lit(score > 0.1).alias("above_chance"))  # two rows of totals
 
 
 view("q_lab", """SELECT 'Person:' || uuid AS node, province AS label FROM q_persons UNION ALL
@@ -446,32 +442,31 @@ def _(t):
 
 _TARGETS = ["Person:7", "Person:10"]
 view("q_hop0", "SELECT unnest(['Person:7', 'Person:10']) AS node, 0 AS hops")
-view("q_hop1", "SELECT * FROM q_hop0 UNION ALL SELECT DISTINCT dst, 1 FROM q_hund WHERE src IN (SELECT node FROM q_hop0) AND dst NOT IN (SELECT node FROM q_hop0)")
-view("q_hop2", "SELECT * FROM q_hop1 UNION ALL SELECT DISTINCT dst, 2 FROM q_hund WHERE src IN (SELECT node FROM q_hop1) AND dst NOT IN (SELECT node FROM q_hop1)")
+view("q_hop1", "SELECT * FROM q_hop0 UNION ALL SELECT DISTINCT dst, 1 FROM q_und WHERE src IN (SELECT node FROM q_hop0) AND dst NOT IN (SELECT node FROM q_hop0)")
+view("q_hop2", "SELECT * FROM q_hop1 UNION ALL SELECT DISTINCT dst, 2 FROM q_und WHERE src IN (SELECT node FROM q_hop1) AND dst NOT IN (SELECT node FROM q_hop1)")
 
 
-@plan("GA09_k_hop", "SELECT node, CAST(hops AS INTEGER) AS hops FROM q_hop2 WHERE node IN (SELECT src FROM q_hund)")
+@plan("GA09_k_hop", "SELECT node, CAST(hops AS INTEGER) AS hops FROM q_hop2 WHERE node IN (SELECT src FROM q_und)")
 def _(t):
     seeds = t.spark.createDataFrame([(n,) for n in _TARGETS], "node string")
-    seeds = t.hobby_graph.select(F.col("src").alias("node")).join(F.broadcast(seeds), "node", "left_semi").distinct()
-    return algo.k_hop(t.hobby_graph, seeds, 2)
+    seeds = t.graph.select(F.col("src").alias("node")).join(F.broadcast(seeds), "node", "left_semi").distinct()
+    return algo.k_hop(t.graph, seeds, 2)
 
 
 view("q_gone", "SELECT 'Hobby:' || item AS node FROM q_hob GROUP BY item ORDER BY count(*) DESC, item LIMIT 140")
 
 
 @plan("GA10_largest_component", _cc(
-    "ccx", "SELECT node FROM q_deg WHERE (node LIKE 'Person:%' OR node LIKE 'Hobby:%') AND node NOT IN (SELECT node FROM q_gone)",
-    "SELECT src, dst FROM q_hund WHERE src NOT IN (SELECT node FROM q_gone) AND dst NOT IN (SELECT node FROM q_gone)", 10))
+    "ccx", "SELECT node FROM q_deg WHERE node NOT IN (SELECT node FROM q_gone)",
+    "SELECT src, dst FROM q_und WHERE src NOT IN (SELECT node FROM q_gone) AND dst NOT IN (SELECT node FROM q_gone)", 10))
 def _(t):
     counts = t.hobbies.groupBy("item").agg(F.count(F.lit(1)).alias("cnt"))
     gone = counts.orderBy(F.desc("cnt"), "item").limit(140).select(F.concat(F.lit("Hobby:"), "item").alias("node"))
-    people = t.persons.select(F.concat(F.lit("Person:"), "uuid").alias("node"))
-    nodes = people.unionByName(t.hobbies.select(F.concat(F.lit("Hobby:"), "item").alias("node")).distinct())
-    return algo.largest_component_ratio(nodes, t.hobby_graph, gone)
+    nodes = t.graph.select(F.col("src").alias("node")).distinct()
+    return algo.largest_component_ratio(nodes, t.graph, gone)
 
 
-view("q_ind", "SELECT src, dst FROM q_hund WHERE src IN (SELECT node FROM q_hop1) AND dst IN (SELECT node FROM q_hop1)")
+view("q_ind", "SELECT src, dst FROM q_und WHERE src IN (SELECT node FROM q_hop1) AND dst IN (SELECT node FROM q_hop1)")
 _before = _cc("cca", "SELECT node FROM q_hop1", "SELECT src, dst FROM q_ind", 6)
 _after = _cc("ccb", "SELECT node FROM q_hop1 WHERE hops > 0", "SELECT src, dst FROM q_ind WHERE src NOT IN ('Person:7', 'Person:10') AND dst NOT IN ('Person:7', 'Person:10')", 6)
 
@@ -482,7 +477,7 @@ SELECT true AS path_found, b.ratio AS original, a.ratio AS current, round(greate
 FROM ({_before}) b, ({_after}) a""")
 def _(t):
     comm = t.members.select(F.concat(F.lit("Person:"), "uuid").alias("node"), F.col("community_id").cast("string").alias("community_id"))
-    return algo.removal_impact(t.hobby_graph, _TARGETS, 1, comm)
+    return algo.removal_impact(t.graph, _TARGETS, 1, comm)
 
 
 view("q_hdeg_p", "SELECT uuid, count(*) AS d FROM q_hob GROUP BY uuid")
@@ -620,10 +615,10 @@ def _(t):
 
 
 @plan("VE09_similarity_features", "SELECT uuid, " + ", ".join(
-    f"COALESCE(max(round(similarity, 6)) FILTER (item = '{i}'), 0) AS text_sim_{i}" for i in range(4)) + " FROM q_mat GROUP BY uuid")
+    f"COALESCE(max(round(similarity, 6)) FILTER (item = '{i}'), 0) AS text_sim_{i}" for i in range(10)) + " FROM q_mat GROUP BY uuid")
 def _(t):
     m = _matrix(t).withColumn("similarity", F.round("similarity", 6))
-    return embedding.similarity_features(m, [str(i) for i in range(4)])
+    return embedding.similarity_features(m, [str(i) for i in range(10)])
 
 
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]

@@ -290,9 +290,9 @@ def _(t):
     return rounded(cand.embedding_candidates(people, items, t.reco.train, 10), "raw_score")
 
 
-@plan("CP19_unknown_person_fallback", """SELECT uuid, item, 'popularity_fallback' AS provider, CAST(pop AS DOUBLE) AS raw_score FROM (SELECT CAST(doc_id + 1000000 AS VARCHAR) AS uuid FROM documents WHERE doc_id % 100 = 0) r, q_rank WHERE pop_rank <= 10""")
+@plan("CP19_unknown_person_fallback", """SELECT uuid, item, 'popularity_fallback' AS provider, CAST(pop AS DOUBLE) AS raw_score FROM (SELECT CAST(doc_id + 1000000 AS VARCHAR) AS uuid FROM documents) r, q_rank WHERE pop_rank <= 10""")
 def _(t):
-    asked = t.raw("documents").where(F.col("doc_id") % 100 == 0).select((F.col("doc_id") + 1000000).cast("string").alias("uuid"))
+    asked = t.raw("documents").select((F.col("doc_id") + 1000000).cast("string").alias("uuid"))
     known = t.hobbies.select("uuid").distinct()
     return cand.cold_requests(asked.unionByName(known), t.persons, t.reco.pop, 10)
 
