@@ -21,19 +21,11 @@ from pyspark.sql import functions as F
 from popgraph.functions.columns import row_count
 from popgraph.functions.skew import HOT_ROWS, join_measured, replicate, spread
 from popgraph.operators.algorithms import components
-from popgraph.sources.files import scratch_path
+from popgraph.sources.files import stored
 
 WHOLE = "decimal(18,0)"  # products of two stay within 38 digits
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again. A checkpoint would keep the constraints of the plans before it, and
-    their number grows with every round."""
-    path = scratch_path(df.sparkSession, "communities")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class WeightedGraph:
     """Edges without loops, spread over salts, and (node, k, n_salts): degrees with loops."""
 

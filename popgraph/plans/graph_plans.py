@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from popgraph.functions import vectors as vec
 from popgraph.operators import algorithms as algo
-from popgraph.operators import embedding, knn, louvain, paths, search, vector_index
+from popgraph.operators import descent, embedding, knn, louvain, paths, search, vector_index
 from popgraph.operators import similarity as sim
 from popgraph.operators.filters import Segment, select_segment
 from popgraph.operators.model import undirected
@@ -42,6 +42,15 @@ def _(t):
     return pairs.withColumn("score", F.round("score", 6))
 
 
+@plan("GA06_neighbour_descent", "SELECT count(*) AS persons, 5 * count(*) AS links, true AS recall_reached FROM q_unit")
+def _(t):
+    found = descent.descend(t.vectors.select("uuid", "embedding"), 5, pool=24)
+    named = [x.select(F.col("src").alias("query"), F.col("dst").alias("uuid")) for x in (found, t.similar)]
+    got = vector_index.recall(*named)
+    size = found.agg(F.count_distinct("src").alias("persons"), F.count(F.lit(1)).alias("links"))
+    return size.crossJoin(got).select("persons", "links", (F.col("recall") >= 0.9).alias("recall_reached"))  # two rows of totals
+
+
 @plan("SM01_stored_similar", "SELECT src, dst, round(score, 6) AS score, rnk FROM q_similar WHERE rnk <= 3")
 def _(t):
     return sim.stored_top(t.similar, 3).withColumn("score", F.round("score", 6))

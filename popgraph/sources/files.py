@@ -21,6 +21,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/popgraph-{name}-{uuidlib.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again. A checkpoint would keep the constraints of the plans before it, and
+    their number grows with every round of a loop."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_personas(spark: SparkSession, parquet: str | None, csv: str | None = None, rows: int | None = None) -> DataFrame:
     """Raw persona table from parquet if given, else csv; `rows` keeps the first rows by uuid."""
     if parquet:
