@@ -103,7 +103,7 @@ class Encoder:
         cores, whole = {}, []
         for word in words:
             core = word.rstrip(TAIL)
-            if core and core is not word and core[-1].isalpha():
+            if core and core is not word and core[-1].isalpha() and core[-1] < "\u0100":  # no normaliser makes a mark of these
                 cores[word] = core, word[len(core) :]
             else:
                 whole.append(word)

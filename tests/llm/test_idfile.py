@@ -61,7 +61,7 @@ def library(text):
 def difficult(seed=1, n=400):
     rng = random.Random(seed)
     parts = ["don't", "It's", "'S", "É", "é", "́", "Σας", "ΣΑΣ", "İ", "ſ", "ﬁ", "Ⅷ", "x²", "日本語", "한국어", "🙂", "a b", " ", " ", "\x1c", "\x85",
-             "<|endoftext|>", "<|startoftext|>", "<|endoftext|>.", "word.", "word...", "(word)", "w.,", "'.", "12.", "3,5", "²,", "ñ!", "\t", "\r\n", "", "", "#", "≮", "=.", "A" * 70, "ß,", "Ünter;"]
+             "<|endoftext|>", "<|startoftext|>", "<|endoftext|>.", "word.", "word...", "(word)", "w.,", "'.", "12.", "3,5", "²,", "ñ!", "\t", "\r\n", "", "", "#", "≮", "=.", "A" * 70, "ß,", "Ünter;", "İ.", "xİ,", "\u0958.", "Ω.", "\u1112\u1161\u11ab."]
     return [rng.choice([" ", "  ", "\n", " \n"]).join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(n)]
 
 
