@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "IO05_context_csv", "PP04_preprocess", "PP16_split_items", "GM02_edges", "FL06_occupation", "AG10_overview", "AG14_compare_segments",
     "SR01_faceted_search", "CT04_adjacent_occupations", "LM03_keyword_overlap", "SG03_ego_depth3", "PT01_shortest_path", "RG01_recommend_hobby",
-    "GA10_largest_component", "RD10_split", "RD12_sample_negative", "CP06_segment_popularity", "CP14_jaccard", "SC03_merge", "RF14_feature_vector",
+    "GA10_largest_component", "GA09_k_hop", "VE01_stored_index", "CP19_unknown_person_fallback", "RD10_split", "RD12_sample_negative", "CP06_segment_popularity", "CP14_jaccard", "SC03_merge", "RF14_feature_vector",
     "ME09_ranking_metrics", "AU03_average_rank", "EX02_reasons", "TX03_suffix_mining", "TL07_near_duplicate_texts", "CH01_intents", "CH04_carried_filters",
     "RK12_final_recommendations", "ST02_upsert_stream",
 ]
