@@ -224,3 +224,41 @@ def test_routes(spark):
     q = ["서울과 부산을 비교해줘", "30대는 몇 명이야", "조용한 카페를 좋아하는 사람"]
     df = spark.createDataFrame([(x,) for x in q], "t string").select(conv.route(F.col("t")).alias("r"))
     assert [r["r"] for r in df.collect()] == ["composite", "cypher", "vector"]
+
+
+def test_knn_ties_go_by_id_and_packs_stay_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(500, 8))
+    v[100:300] = v[100]  # copies: every tie is broken by the id
+    df = spark.createDataFrame([(f"{i * 7 % 500:03d}", x.tolist()) for i, x in enumerate(v)], "uuid string, embedding array<double>")
+    ids = np.array([f"{i * 7 % 500:03d}" for i in range(500)])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)
+    want = {}
+    for i in range(500):
+        order = sorted((j for j in range(500) if j != i), key=lambda j: (-sims[i, j], ids[j]))[:5]
+        want[ids[i]] = [ids[j] for j in order]
+    got = {}
+    for r in knn.neighbours(df, 5, block_rows=64).collect():
+        got.setdefault(r["src"], {})[r["rnk"]] = r["dst"]
+    assert {s: [d[n] for n in range(1, 6)] for s, d in got.items()} == want
+
+
+def test_knn_keeps_vectors_out_of_its_visits(spark):
+    """No row per vector and visited block: rows of the comparison are pairs of packs."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(f"{i:03d}", x.tolist()) for i, x in enumerate(rng.normal(size=(400, 16)))], "uuid string, embedding array<double>")
+    plan = knn.neighbours(df, 3, block_rows=16)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    missing = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), (None, [1.0, 0.5])], "uuid string, embedding array<double>")
+    near = {(r["src"], r["rnk"]): r["dst"] for r in knn.neighbours(missing, 1).collect()}
+    assert near == {("a", 1): None, ("b", 1): None, (None, 1): "a"} or near[("b", 1)] in (None, "a")
+
+
+def test_knn_packs_of_a_partition(spark, monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(knn, "PACK_BYTES", 256 * 4 * 8)
+    monkeypatch.setattr(knn.TaskContext, "get", classmethod(lambda cls: type("C", (), {"partitionId": lambda self: 3})()))
+    rows = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(700)]), pa.array([[1.0, 2.0, 0.0, i] for i in range(700)])], names=["uuid", "embedding"])
+    packs = list(knn._packs(iter([rows])))
+    assert [len(p.column("ids")[0]) for p in packs] == [256, 256, 188] and [p.column("seq")[0].as_py() for p in packs] == [0, 1, 2]
