@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.skew import join_measured
 from popgraph.operators import metrics
+from popgraph.session import cut_lineage
 
 LIST_SCHEMA = "uuid string, item string, score double, rnk int"
 
@@ -30,6 +34,21 @@ def greedy_mmr(scores: np.ndarray, vectors: np.ndarray, lam: float, k: int) -> l
     return chosen
 
 
+def greedy_mmr_each(scores: np.ndarray, vectors: np.ndarray, lambdas: np.ndarray, k: int) -> np.ndarray:
+    """`greedy_mmr` for several lambdas at once: one row of positions per lambda."""
+    sims = vectors @ vectors.T
+    closest = np.zeros((len(lambdas), len(scores)))
+    free = np.ones(closest.shape, dtype=bool)
+    chosen = np.empty((len(lambdas), min(k, len(scores))), dtype=int)
+    relevance, every = lambdas[:, None] * scores, np.arange(len(lambdas))
+    for step in range(chosen.shape[1]):
+        value = np.where(free, np.round(relevance - (1 - lambdas)[:, None] * closest, 12), -np.inf)
+        pick = np.where(value == value.max(axis=1)[:, None], scores, -np.inf).argmax(axis=1)
+        chosen[:, step], free[every, pick] = pick, False
+        closest = sims[pick] if step == 0 else np.maximum(closest, sims[pick])
+    return chosen
+
+
 def greedy_dpp(scores: np.ndarray, vectors: np.ndarray, theta: float, k: int) -> list[int]:
     """Greedy log-determinant maximisation by incremental Cholesky updates."""
     n = len(scores)
@@ -70,6 +89,43 @@ def mmr(lists: DataFrame, vectors: DataFrame, lam: float = 0.7, k: int = 10) ->
     return _rerank(lists, vectors, lambda s, v: greedy_mmr(s, v, lam, k))
 
 
+def mmr_each(lists: DataFrame, vectors: DataFrame, lambdas, k: int = 10) -> DataFrame:
+    """(at, uuid, item, rnk): the list that `mmr` makes of every person's rows for the lambda at each position.
+
+    A person's rows meet once for all lambdas, and a task goes through persons in Arrow batches.
+    """
+    rows = join_measured(lists.select("uuid", "item", "score", "rnk"), vectors.select("item", "embedding"), "item", "uuid")
+    held = rows.groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct("rnk", "item", "score", "embedding"))).alias("rows"))
+    flat = held.select(
+        "uuid", F.col("rows.item").alias("items"), F.col("rows.score").cast("array<double>").alias("scores"),
+        F.flatten(F.col("rows.embedding")).cast("array<double>").alias("vectors"),
+    )
+    wanted = np.array(lambdas, dtype="float64")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, person, item, rnk = [], [], [], []
+            items, scores, parts = (batch.column(c) for c in ("items", "scores", "vectors"))
+            starts = items.offsets.to_numpy()
+            s, v = (c.values.to_numpy(zero_copy_only=False) for c in (scores, parts))
+            s_at, v_at = scores.offsets.to_numpy(), parts.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                n = starts[i + 1] - starts[i]
+                chosen = greedy_mmr_each(s[s_at[i] : s_at[i + 1]], v[v_at[i] : v_at[i + 1]].reshape(n, -1), wanted, k)
+                item.append(starts[i] + chosen.ravel())
+                at.append(np.repeat(np.arange(len(wanted)), chosen.shape[1]))
+                rnk.append(np.tile(np.arange(1, chosen.shape[1] + 1), len(wanted)))
+                person.append(np.full(chosen.size, i))
+            if person:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(at), pa.int32()), batch.column("uuid").take(pa.array(np.concatenate(person))),
+                     items.values.take(pa.array(np.concatenate(item))), pa.array(np.concatenate(rnk), pa.int32())],
+                    names=["at", "uuid", "item", "rnk"],
+                )
+
+    return flat.mapInArrow(run, "at int, uuid string, item string, rnk int")
+
+
 def dpp(lists: DataFrame, vectors: DataFrame, theta: float = 0.5, k: int = 10) -> DataFrame:
     return _rerank(lists, vectors, lambda s, v: greedy_dpp(s, v, theta, k))
 
@@ -93,10 +149,13 @@ def list_diversity(lists: DataFrame, vectors: DataFrame, dim: int, k: int) -> Da
 
 def lambda_sweep(lists, vectors, truth, n_items, pop, categories, lambdas, k: int = 10) -> DataFrame:
     """Metrics at k for every lambda next to the unchanged order, with deltas."""
-    base = metrics.summary(truth, lists.where(F.col("rnk") <= k), n_items, pop, categories, ks=(k,))
+    judged = metrics.evaluated(truth, lists)  # the metrics read no other persons
+    # each summary is worked out once; its few rows meet the base's
+    base = cut_lineage(metrics.summary(truth, judged.where(F.col("rnk") <= k), n_items, pop, categories, ks=(k,)))
+    ranked = cut_lineage(mmr_each(judged, vectors, lambdas, k))
     out = None
-    for lam in lambdas:
-        now = metrics.summary(truth, mmr(lists, vectors, lam, k), n_items, pop, categories, ks=(k,))
+    for i, lam in enumerate(lambdas):
+        now = cut_lineage(metrics.summary(truth, ranked.where(F.col("at") == i), n_items, pop, categories, ks=(k,)))
         rows = metrics.deltas(base, now).withColumn("lam", F.lit(float(lam)))
         out = rows if out is None else out.unionByName(rows)
     return out
