@@ -80,3 +80,17 @@ def test_search_holds_bounded_scores(spark, monkeypatch):
     whole = knn.search(df, q, 3).orderBy("query", "rnk").collect()
     monkeypatch.setattr(knn, "SCORES", 16)
     assert knn.search(df, q, 3).orderBy("query", "rnk").collect() == whole
+
+
+def test_segment_groups_of_a_task_are_bounded(spark, monkeypatch):
+    fields = cand.SEGMENT_FIELDS
+    contexts = spark.createDataFrame([(f"u{u}", *[f"{f}{u % 3}" for f in fields]) for u in range(40)], ["person_uuid", *fields])
+    known = spark.createDataFrame([(f"u{u}", f"i{u % 5}") for u in range(40)], "uuid string, item string")
+    pop = known.groupBy("item").agg(F.count(F.lit(1)).alias("pop"))
+    histogram = spark.createDataFrame([("occupation", f"occupation{v}", f"i{i}", 0.1 * i) for v in range(3) for i in range(5)], "field string, value string, item string, share double")
+    run = lambda: cand.segment_candidates(contexts, known, histogram, pop, 3)
+    want = sorted(map(str, run().collect()))
+    monkeypatch.setattr(cand, "GROUPS_PER_TASK", 10)  # 40 persons, 5 items: 20 tasks
+    plan = run()._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [uuid" in plan and ", 20" in plan
+    assert sorted(map(str, run().collect())) == want
