@@ -1,10 +1,13 @@
 """The text join moves few pairs and loses none."""
 
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
 
 from popgraph.operators import leakage
+from popgraph.plans.catalog import queries  # noqa: F401  registers the plans
+from popgraph.plans.registry import PLANS
 
 
 def test_texts_that_share_rare_words_only_are_not_moved_as_pairs(spark):
@@ -33,3 +36,17 @@ def test_near_duplicates_of_long_texts_and_one_sided_words(spark):
     df = spark.createDataFrame(rows, "side string, key long, text string")
     got = {(r["a"], r["b"], round(r["jaccard"], 9)) for r in leakage.near_duplicates(df).collect()}
     assert got == want and 5 < len(want) < 25
+
+
+def test_communities_read_the_neighbour_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")]
+    similar = spark.createDataFrame(pairs, "src string, dst string").mapInPandas(counted, "src string, dst string")
+    got = PLANS["GA07_communities"](SimpleNamespace(similar=similar)).collect()
+    assert {r["node"] for r in got} == set("abcxy") and read.value == len(pairs)
