@@ -70,15 +70,24 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return ranked.withColumn("target", F.least(F.col("weight") * F.lit(level), limit))
 
 
-def pack(docs: DataFrame, block_words: int = BLOCK_WORDS, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """(source, block, doc_id, row, first_word, n_words, size, in_block) segments, without their text.
-
-    `docs` must be a table. A document without words gives no segment.
-    """
+def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """(source, doc_id, __row, size, __h) of every document, written once: texts are read and their words counted here only."""
     rows = numbered(docs).select(
         F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), "__row", text_words(text).alias("size"),
         F.xxhash64(F.col(text)).alias("__h"),
     )
+    return kept(rows, "sizes")
+
+
+def pack(
+    docs: DataFrame, block_words: int = BLOCK_WORDS, text: str = "text", source: str = "source", doc_id: str = "doc_id",
+    sizes: DataFrame | None = None,
+) -> DataFrame:
+    """(source, block, doc_id, row, first_word, n_words, size, in_block) segments, without their text.
+
+    `docs` must be a table, `sizes` its `sized`, if known. A document without words gives no segment.
+    """
+    rows = sized(docs, text, source, doc_id) if sizes is None else sizes
     ranged = rows.where("size > 0").repartitionByRange(F.col("source").isNull(), "source", "doc_id", "__h", "__row")
     ranged = kept(ranged.withColumn("__part", F.spark_partition_id()), "packed")
     key = [F.col("source").isNull(), F.col("source")]
@@ -162,16 +171,18 @@ def slots(spark, plan: list[tuple], shards: int = SHARDS, seed: int = SEED) -> D
 def mix(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS, block_words: int = BLOCK_WORDS,
     shards: int = SHARDS, seed: int = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id",
+    sizes: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and its targets.
 
     The mix has a row per slot and segment: (shard, source, slot, block, in_block, doc_id, row, first_word,
     n_words); `materialise` adds the words. Read in the order of shard, source, slot, in_block it is the
-    packed data. Targets are those of `source_targets`. `docs` must be a table.
+    packed data. Targets are those of `source_targets`. `docs` must be a table, `sizes` its `sized`, if known.
     """
     spark = docs.sparkSession
-    segments = kept(pack(docs, block_words, text, source, doc_id), "segments")
-    targets = kept(source_targets(docs.select(F.col(source).alias("source"), text_words(text).alias("size")), weights, share, max_repeats), "targets")
+    sizes = sized(docs, text, source, doc_id) if sizes is None else sizes
+    segments = kept(pack(docs, block_words, text, source, doc_id, sizes), "segments")
+    targets = kept(source_targets(sizes.select("source", "size"), weights, share, max_repeats), "targets")
     plan = [
         (r.source, n, min(round(r.target * n / r.source_size), int(max_repeats * n)))
         for r in targets.where("source_size > 0").orderBy(F.col("source").isNull(), "source").toLocalIterator()

@@ -8,6 +8,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from popgraph.llm import registered
 from popgraph.llm import lines, mixing, secrets
 from popgraph.llm.common import kept, numbered, prepare
 
@@ -88,3 +89,15 @@ def test_tokens_of_a_hot_leaf_are_not_gathered(spark, monkeypatch):
     cut = lines.drop_template_lines(docs).select("doc.doc_id", "n_dropped").collect()
     assert {r[0] for r in cut if not r[1]} == set(range(40)) and len(cut) == 800
     assert plans and not any(re.search(r"Aggregate \[leaf#\w+\], .*collect_list", p) for p in plans)
+
+
+def test_mix_counts_words_in_one_pass(spark, tmp_path, monkeypatch):
+    from popgraph.llm import mixing
+
+    calls = []
+    count = mixing.text_words
+    monkeypatch.setattr(mixing, "text_words", lambda *a: calls.append(a) or count(*a))
+    rows = [(i, "ab"[i % 2], "w " * (i + 1)) for i in range(40)] + [(None, None, None), (3, "a", "w")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["source"], r["size"]) for r in registered.QUERIES["op6_mixing"](spark, str(tmp_path)).collect()}
+    assert got == {(i, s, len((t or "").split())) for i, s, t in rows} and len(calls) == 1
