@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key
@@ -41,38 +41,65 @@ def sample_negatives(
     positives: DataFrame, pool: DataFrame, known: DataFrame, items: DataFrame,
     neg_ratio: int = 4, hard_ratio: float = 0.8, seed: int = 42,
 ) -> DataFrame:
-    """(uuid, item, kind): hard negatives from the pool, easy ones from outside it.
+    """(uuid, item, kind): hard negatives from the pool, easy ones from outside it."""
+    ranked = negative_ranks(positives, pool, known, items, [(neg_ratio, hard_ratio)], seed)
+    return drawn(ranked, neg_ratio, hard_ratio).select("uuid", "item", "kind")
 
-    Easy items are drawn by stepping through the catalogue from a hashed start with a step coprime to
-    its size. A person with m excluded items looks at m + needed positions only: at most m of them are
-    excluded, so enough remain and no person meets the whole catalogue.
+
+def _shares(neg_ratio: int, hard_ratio: float) -> tuple[Column, Column]:
+    """Negatives of a person with n positives, and how many of them shall be hard."""
+    total = F.col("n") * neg_ratio
+    return total, F.floor(total * F.lit(hard_ratio))
+
+
+def _most(values: list[Column]) -> Column:
+    return F.greatest(*values) if len(values) > 1 else values[0]
+
+
+def negative_ranks(
+    positives: DataFrame, pool: DataFrame, known: DataFrame, items: DataFrame, settings: list[tuple[int, float]], seed: int = 42
+) -> DataFrame:
+    """(uuid, item, kind, r, n, n_free): the negatives of every setting (ratio, hardness), r their place in the person's draw.
+
+    A setting draws the first ones of either kind (`drawn`), so all settings share one ranking. Easy items are drawn by
+    stepping through the catalogue from a hashed start with a step coprime to its size. A person with m excluded items
+    looks at m + needed positions only: at most m of them are excluded, so enough remain and no person meets the whole
+    catalogue.
     """
     pos = positives.select("uuid", "item").distinct()
-    want = pos.groupBy("uuid").agg((F.count(F.lit(1)) * neg_ratio).alias("total")).withColumn(
-        "n_hard", F.floor(F.col("total") * F.lit(hard_ratio))
-    )
+    want = pos.groupBy("uuid").agg(row_count("n"))
     people = want.select("uuid")
-    taken = pos.unionByName(known.select("uuid", "item").join(people, "uuid", "left_semi")).distinct()
-    in_pool = pool.select("uuid", "item").join(people, "uuid", "left_semi").distinct()
-    order = Window.partitionBy("uuid").orderBy(shuffle_key("uuid", "item", seed=seed), "item")
-    hard = in_pool.join(taken, ["uuid", "item"], "left_anti").withColumn("r", F.row_number().over(order)).join(want, "uuid")
-    hard = hard.where(F.col("r") <= F.col("n_hard")).select("uuid", "item")
-    excluded = taken.unionByName(in_pool).distinct()
-    counts = excluded.groupBy("uuid").agg(row_count("m"))
-    got = hard.groupBy("uuid").agg(row_count("got"))
+    taken = pos.unionByName(known.select("uuid", "item").join(people, "uuid", "left_semi"))
+    in_pool = pool.select("uuid", "item").join(people, "uuid", "left_semi")
+    marked = taken.withColumn("taken", F.col("item").isNotNull()).unionByName(in_pool.withColumn("taken", F.lit(False)))
+    order = Window.partitionBy("uuid").orderBy("taken", shuffle_key("uuid", "item", seed=seed), "item")
+    excluded = cut_lineage(
+        marked.groupBy("uuid", "item").agg(F.max("taken").alias("taken")).withColumn("r", F.row_number().over(order))
+    )
+    sizes = excluded.groupBy("uuid").agg(row_count("m"), F.count_if(~F.col("taken")).alias("n_free"))
+    hard = excluded.where(~F.col("taken")).select("uuid", "item", "r").join(want.join(sizes.drop("m"), "uuid"), "uuid")
+    hard = hard.where(F.col("r") <= _most([_shares(*s)[1] for s in settings])).withColumn("kind", F.lit("hard"))
     ids = cut_lineage(dense_ids(items, "item", "item_id"))
-    n = ids.count()
-    step = next(s for s in range(max(2, int(n * 0.618)), 2 * n + 3) if math.gcd(s, n) == 1)
-    start = F.pmod(F.conv(F.substring(shuffle_key("uuid", seed=seed), 1, 12), 16, 10).cast("long"), F.lit(n))
-    need = want.join(got, "uuid", "left").join(counts, "uuid", "left").fillna(0).withColumn("need", F.col("total") - F.col("got"))
+    n_items = ids.count()
+    step = next(s for s in range(max(2, int(n_items * 0.618)), 2 * n_items + 3) if math.gcd(s, n_items) == 1)
+    start = F.pmod(F.conv(F.substring(shuffle_key("uuid", seed=seed), 1, 12), 16, 10).cast("long"), F.lit(n_items))
+    lacking = _most([total - F.least(n_hard, F.col("n_free")) for total, n_hard in (_shares(*s) for s in settings)])
+    need = want.join(sizes, "uuid", "left").fillna(0).withColumn("need", lacking)
     looks = need.where(F.col("need") > 0).withColumn("start", start).withColumn(
-        "j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m") + F.col("need"), F.lit(n).cast("long")) - 1))
-    ).withColumn("item_id", F.pmod(F.col("start") + F.col("j") * step, F.lit(n)))
-    named = join_measured(looks.select("uuid", "need", "j", "item_id"), ids, "item_id", "uuid")
-    free = named.join(excluded, ["uuid", "item"], "left_anti")
-    w = Window.partitionBy("uuid").orderBy("j")
-    easy = free.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("need")).select("uuid", "item")
-    return hard.withColumn("kind", F.lit("hard")).unionByName(easy.withColumn("kind", F.lit("easy")))
+        "j", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("m") + F.col("need"), F.lit(n_items).cast("long")) - 1))
+    ).withColumn("item_id", F.pmod(F.col("start") + F.col("j") * step, F.lit(n_items)))
+    named = join_measured(looks.select("uuid", "n", "n_free", "need", "j", "item_id"), ids, "item_id", "uuid")
+    free = named.join(excluded.select("uuid", "item"), ["uuid", "item"], "left_anti")
+    easy = free.withColumn("r", F.row_number().over(Window.partitionBy("uuid").orderBy("j"))).where(F.col("r") <= F.col("need"))
+    columns = ["uuid", "item", "kind", "r", "n", "n_free"]
+    return hard.select(columns).unionByName(easy.withColumn("kind", F.lit("easy")).select(columns))
+
+
+def drawn(rows: DataFrame, neg_ratio: int, hard_ratio: float) -> DataFrame:
+    """The rows of one setting; rows of another kind than hard and easy belong to every setting."""
+    total, n_hard = _shares(neg_ratio, hard_ratio)
+    most = F.when(F.col("kind") == "hard", n_hard).when(F.col("kind") == "easy", total - F.least(n_hard, F.col("n_free")))
+    return rows.where(most.isNull() | (F.col("r") <= most))
 
 
 def dataset(
@@ -80,14 +107,30 @@ def dataset(
     neg_ratio: int = 4, hard_ratio: float = 0.8, seed: int = 42, source: bool = False, text: bool = False,
 ) -> DataFrame:
     """Labelled feature rows; persons without context are left out."""
-    negatives = sample_negatives(positives, pool, known, items, neg_ratio, hard_ratio, seed)
-    labelled = positives.select("uuid", "item").distinct().withColumn("label", F.lit(1.0)).unionByName(
-        negatives.select("uuid", "item").withColumn("label", F.lit(0.0))
+    every = datasets(positives, pool, known, items, contexts, profile, [(neg_ratio, hard_ratio)], seed, source, text)
+    return one_dataset(every, neg_ratio, hard_ratio)
+
+
+RANKED = ["kind", "r", "n", "n_free"]
+
+
+def datasets(
+    positives: DataFrame, pool: DataFrame, known: DataFrame, items: DataFrame, contexts: DataFrame, profile: DataFrame,
+    settings: list[tuple[int, float]], seed: int = 42, source: bool = False, text: bool = False,
+) -> DataFrame:
+    """The rows of several settings (ratio, hardness) with their features, each built once; `one_dataset` takes one's."""
+    negatives = negative_ranks(positives, pool, known, items, settings, seed)
+    none = [F.lit("positive").alias("kind"), *[F.lit(None).cast("long").alias(c) for c in RANKED[1:]]]
+    labelled = positives.select("uuid", "item").distinct().select("uuid", "item", *none, F.lit(1.0).alias("label")).unionByName(
+        negatives.withColumn("label", F.lit(0.0))
     )
-    scores = pool.select("uuid", "item", "source_scores")
-    rows = labelled.join(scores, ["uuid", "item"], "left")
-    built = features.build(rows.drop("label"), contexts, known, profile).where(F.col("has_context"))
-    return labelled.join(built.select("uuid", "item", *feature_columns(source, text)), ["uuid", "item"])
+    rows = cut_lineage(labelled.join(pool.select("uuid", "item", "source_scores"), ["uuid", "item"], "left"))
+    built = features.build(rows, contexts, known, profile, keep=["label", *RANKED]).where(F.col("has_context"))
+    return built.select("uuid", "item", "label", *RANKED, *feature_columns(source, text))
+
+
+def one_dataset(every: DataFrame, neg_ratio: int, hard_ratio: float) -> DataFrame:
+    return drawn(every, neg_ratio, hard_ratio).drop(*RANKED)
 
 
 def group_sizes(data: DataFrame) -> DataFrame:
@@ -215,8 +258,11 @@ def coordinate_search(data, columns, rows, truth, grid=None, start=None, rounds:
 
 
 def negative_search(make_data, columns, rows, truth, ratios=(1, 2, 4, 8), hardness=(0.5, 0.8, 1.0), params=None) -> DataFrame:
-    """Best negative ratio first, then best hardness at that ratio, by validation recall@10."""
-    rows = cut_lineage(rows)
+    """Best negative ratio first, then best hardness at that ratio, by validation recall@10.
+
+    Only the truth's persons are ranked: recall reads no other list.
+    """
+    rows = cut_lineage(metrics.evaluated(truth, rows))
     log = []
 
     def run(phase, ratio, hard):
