@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key, top_n_global
 from popgraph.functions.skew import HOT_ROWS, replicate, salted_counts, spread
-from popgraph.functions.vectors import l2_normalize, vector_sums
+from popgraph.functions.vectors import vector_sums
+from popgraph.operators.blocks import BlockGraph
 from popgraph.session import cut_lineage
 
 
@@ -198,17 +199,15 @@ def random_sign_vector(node, dim: int, scale: float):
 
 def fastrp(adj: DataFrame, dim: int = 256, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Random projection smoothed over neighbours, unit length per round, weighted sum of the rounds."""
-    g = Graph(adj)
-    current = g.nodes.select("node", "degree", random_sign_vector(F.col("node"), dim, 3.0**0.5).alias("v"))
-    total = g.nodes.select("node", F.array_repeat(F.lit(0.0), dim).alias("embedding"))
+    g = BlockGraph(adj, dim)
+    state, kept = g.packed(g.nodes.select("node", random_sign_vector(F.col("node"), dim, 3.0**0.5).alias("v"))), []
     for w in weights:
-        sums = vector_sums(g.send(current.select("node", "v")), ["dst"], "v", dim).withColumnRenamed("dst", "node")
-        current = cut_lineage(g.nodes.join(sums, "node").select("node", "degree", l2_normalize(F.col("v")).alias("v")))
+        state = g.sums(state)
         if w:
-            total = total.join(current.select("node", "v"), "node").select(
-                "node", F.zip_with("embedding", "v", lambda a, b: a + w * b).alias("embedding")
-            )
-    return total
+            kept.append((w, state))
+    if not kept:
+        return g.nodes.select("node", F.array_repeat(F.lit(0.0), dim).alias("embedding"))
+    return g.unpacked(kept)
 
 
 def normalized_adjacency(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -1,9 +1,12 @@
-"""One ranking of negatives for all settings."""
+"""One ranking of negatives for all settings; neighbour sums without a vector per edge."""
 
 from __future__ import annotations
 
 
+import numpy as np
+
 from popgraph.operators import ranker
+from popgraph.operators.blocks import BlockGraph
 
 SETTINGS = [(1, 0.8), (1, 0.5), (4, 0.8), (4, 0.5), (3, 1.0)]
 
@@ -45,3 +48,28 @@ def test_search_builds_features_once(spark, tables, monkeypatch):
     rows = PLANS["ML05_negative_search"](Tables(spark, tables.sf_dir)).collect()
     assert [(r["phase"], r["neg_ratio"]) for r in rows[:2]] == [("ratio", 1), ("ratio", 4)] and len(rows) == 3
     assert len(calls) == 2  # the pool's and the datasets'
+
+
+def test_block_sums_against_numpy(spark):
+    """Small blocks, pieces and salts give the sums of the whole adjacency; a repeated edge counts twice, a null end not."""
+    rng, n, dim = np.random.default_rng(3), 30, 4
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, n, (70, 2))] + [(0, i) for i in range(1, n)] + [(1, 2), (1, 2)]
+    rows = [(str(x), str(y)) for a, b in pairs for x, y in ((a, b), (b, a))] + [("lost", None), (None, "lost")]
+    start = {str(i): rng.normal(size=dim) for i in range(n)}
+    adj = spark.createDataFrame(rows, "src string, dst string")
+    g = BlockGraph(adj, dim, piece_edges=5, into_edges=7, block_rows=4)
+    assert g.salts.agg({"n_salts": "max"}).first()[0] > 1 and g.edges.agg({"n_into": "max"}).first()[0] > 1
+    first = g.packed(spark.createDataFrame([(k, v.tolist()) for k, v in start.items()], "node string, v array<double>"))
+    second = g.sums(first)
+    got = {r["node"]: np.array(r["embedding"]) for r in g.unpacked([(2.0, second), (1.0, g.sums(second))]).collect()}
+
+    def step(vectors):
+        out = {k: np.zeros(dim) for k in vectors}
+        for a, b in rows[:-2]:
+            out[b] = out[b] + vectors[a]
+        return {k: v / np.linalg.norm(v) if v.any() else v for k, v in out.items()}
+
+    one = step(start)
+    two = step(one)
+    assert set(got) == set(start)
+    assert all(np.allclose(got[k], 2 * one[k] + two[k]) for k in start)
