@@ -1,11 +1,12 @@
-"""One ranking of negatives for all settings; neighbour sums without a vector per edge."""
+"""One ranking of negatives for all settings; neighbour sums without a vector per edge; few scores held at a time."""
 
 from __future__ import annotations
 
 
 import numpy as np
+import pyarrow as pa
 
-from popgraph.operators import ranker
+from popgraph.operators import knn, ranker
 from popgraph.operators.blocks import BlockGraph
 
 SETTINGS = [(1, 0.8), (1, 0.5), (4, 0.8), (4, 0.5), (3, 1.0)]
@@ -73,3 +74,21 @@ def test_block_sums_against_numpy(spark):
     two = step(one)
     assert set(got) == set(start)
     assert all(np.allclose(got[k], 2 * one[k] + two[k]) for k in start)
+
+
+def test_neighbours_hold_few_scores_at_a_time(monkeypatch):
+    """A pack meets another one by parts of at most MAX_ROUGH scores, with the same neighbours."""
+    rng, n, k = np.random.default_rng(5), 40, 3
+    v = rng.normal(size=(n, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, shapes, floor = pa.array([f"{i:02d}" for i in range(n)]), [], knn._Best._floor
+    monkeypatch.setattr(knn, "MAX_ROUGH", 5 * n)
+    monkeypatch.setattr(knn, "MAX_SCORED", 7)
+    monkeypatch.setattr(knn._Best, "_floor", lambda self, rough, lo, hi: shapes.append(rough.size) or floor(self, rough, lo, hi))
+    best = knn._Best((0, 0), ids, v, k)
+    best.meet((0, 0), ids, v, knn.BLOCK_ROWS, True)
+    assert max(shapes) <= 5 * n
+    scores = np.round(v @ v.T, 9) - 9 * np.eye(n)
+    want = {(f"{i:02d}", f"{j:02d}") for i in range(n) for j in np.argsort(-scores[i], kind="stable")[:k]}
+    rows = best.rows()
+    assert set(zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist())) == want
