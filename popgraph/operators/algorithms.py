@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popgraph.functions.columns import row_count, shuffle_key, top_n_global
-from popgraph.functions.skew import HOT_ROWS, replicate, salted_counts, spread
+from popgraph.functions.skew import HOT_ROWS, by_key, replicate, salted_counts, spread
 from popgraph.functions.vectors import vector_sums
 from popgraph.operators.blocks import BlockGraph
 from popgraph.session import cut_lineage
@@ -200,7 +200,7 @@ def random_sign_vector(node, dim: int, scale: float):
 def fastrp(adj: DataFrame, dim: int = 256, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Random projection smoothed over neighbours, unit length per round, weighted sum of the rounds."""
     g = BlockGraph(adj, dim)
-    state, kept = g.packed(g.nodes.select("node", random_sign_vector(F.col("node"), dim, 3.0**0.5).alias("v"))), []
+    state, kept = g.packed(by_key(g.nodes.select("node"), "node").select("node", random_sign_vector(F.col("node"), dim, 3.0**0.5).alias("v"))), []
     for w in weights:
         state = g.sums(state)
         if w:
