@@ -72,7 +72,7 @@ def test_query(spark, name):
 
 def test_names_and_local_checkpoints():
     names = [n for n in registered.QUERIES if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in registered.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in registered.QUERIES
     root = os.path.dirname(os.path.abspath(registered.__file__))
     for name in os.listdir(root):
         if name.endswith(".py"):
