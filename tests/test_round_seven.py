@@ -1,10 +1,13 @@
 """Queries that once did part of their job only, and steps that moved or held too much."""
 
+import math
+import random
+from collections import Counter
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from popgraph.operators import ranker
+from popgraph.operators import leakage, ranker
 from popgraph.plans import learning_plans  # noqa: F401
 from popgraph.plans.registry import PLANS
 
@@ -22,3 +25,37 @@ def test_negative_search_tries_every_setting(spark, monkeypatch):
     assert [tuple(r)[:3] for r in rows] == [("ratio", n, 0.8) for n in (1, 2, 4, 8)] + [("hardness", 4, h) for h in (0.5, 0.8, 1.0)]
     assert set(asked) == {(r, h) for r in (1, 2, 4, 8) for h in (0.5, 0.8, 1.0)} and len(fits) == 6
     assert fits[0]["maxIter"] == 500 and fits[0]["maxDepth"] == 4
+
+
+def cosines(texts):
+    """All words' TF-IDF cosines between the sides, text by text."""
+    bags = [(s, Counter((t or "").lower().split())) for s, _, t in texts]
+    df = Counter(w for _, b in bags for w in b)
+    unit = []
+    for s, b in bags:
+        v = {w: n * math.log((len(bags) + 1) / (df[w] + 1)) for w, n in b.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        unit.append((s, {w: x / length for w, x in v.items()} if length else {}))
+    return [sum(x * b.get(w, 0.0) for w, x in a.items()) for s, a in unit if s == "a" for z, b in unit if z == "b"]
+
+
+def test_text_overlap_uses_every_word(spark):
+    """More words than the 50 commonest, copies, texts without words and a heaviest pair that no rare word points at."""
+    rng = random.Random(4)
+    for seen in range(4):
+        texts = [("ab"[rng.random() < 0.4], i, " ".join(f"W{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(1, 40)))) for i in range(50)]
+        texts += [("a", 90, None), ("b", 91, ""), ("a", 92, texts[0][2]), ("a", 92, texts[0][2])]
+        texts += [("b", 93, texts[0][2])] * (seen == 3)
+        want = cosines(texts)
+        got = leakage.tfidf_overlap(spark.createDataFrame(texts, "side string, key int, text string")).first()
+        assert abs(got["mean_cosine"] - sum(want) / len(want)) < 1e-9 and abs(got["max_cosine"] - max(want)) < 1e-8
+    assert max(want) > 1 - 1e-9
+
+
+def test_largest_cosine_is_searched_behind_the_guess(spark, monkeypatch):
+    """Without any known pair to start from, the search alone finds the largest cosine."""
+    monkeypatch.setattr(leakage, "GUESS_WORDS", 0)
+    rng = random.Random(5)
+    texts = [("ab"[i % 2], i, " ".join(f"w{rng.randrange(60)}" for _ in range(12))) for i in range(60)]
+    got = leakage.tfidf_overlap(spark.createDataFrame(texts, "side string, key int, text string")).first()
+    assert abs(got["max_cosine"] - max(cosines(texts))) < 1e-8
