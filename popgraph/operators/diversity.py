@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +48,21 @@ def greedy_mmr_each(scores: np.ndarray, vectors: np.ndarray, lambdas: np.ndarray
     return chosen
 
 
+def greedy_mmr_many(scores: np.ndarray, vectors: np.ndarray, lam: float, k: int) -> np.ndarray:
+    """`greedy_mmr` for several lists of one length at once: scores (lists, n), vectors (lists, n, dimensions)."""
+    sims = vectors @ vectors.transpose(0, 2, 1)
+    closest = np.zeros(scores.shape)
+    free = np.ones(scores.shape, dtype=bool)
+    chosen = np.empty((len(scores), min(k, scores.shape[1])), dtype=int)
+    every = np.arange(len(scores))
+    for step in range(chosen.shape[1]):
+        value = np.where(free, np.round(lam * scores - (1 - lam) * closest, 12), -np.inf)
+        pick = np.where(value == value.max(axis=1)[:, None], scores, -np.inf).argmax(axis=1)
+        chosen[:, step], free[every, pick] = pick, False
+        closest = sims[every, pick] if step == 0 else np.maximum(closest, sims[every, pick])
+    return chosen
+
+
 def greedy_dpp(scores: np.ndarray, vectors: np.ndarray, theta: float, k: int) -> list[int]:
     """Greedy log-determinant maximisation by incremental Cholesky updates."""
     n = len(scores)
@@ -72,21 +86,49 @@ def greedy_dpp(scores: np.ndarray, vectors: np.ndarray, theta: float, k: int) ->
     return chosen
 
 
-def _rerank(lists: DataFrame, vectors: DataFrame, choose) -> DataFrame:
+AT_ONCE = 128  # lists whose similarities are held at a time
+
+
+def _held(lists: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(uuid, items, scores, vectors): a person's rows by rank, the vectors end to end."""
     rows = join_measured(lists.select("uuid", "item", "score", "rnk"), vectors.select("item", "embedding"), "item", "uuid")
+    held = rows.groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct("rnk", "item", "score", "embedding"))).alias("rows"))
+    return held.select(
+        "uuid", F.col("rows.item").alias("items"), F.col("rows.score").cast("array<double>").alias("scores"),
+        F.flatten(F.col("rows.embedding")).cast("array<double>").alias("vectors"),
+    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rnk"]).reset_index(drop=True)
-        order = choose(pdf["score"].to_numpy(dtype="float64"), np.array(pdf["embedding"].tolist(), dtype="float64"))
-        out = pdf.loc[order, ["uuid", "item", "score"]].copy()
-        out["rnk"] = np.arange(1, len(order) + 1)
-        return out
 
-    return rows.groupBy("uuid").applyInPandas(run, LIST_SCHEMA)
+def _rerank(lists: DataFrame, vectors: DataFrame, choose) -> DataFrame:
+    """Lists in the order of `choose`, which gets several lists of one length: scores (lists, n) and vectors (lists, n, d).
+
+    A task goes through persons in Arrow batches, AT_ONCE lists of one length together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, scores, parts = (batch.column(c) for c in ("items", "scores", "vectors"))
+            starts, s_at, v_at = (c.offsets.to_numpy() for c in (items, scores, parts))
+            s, v = (c.values.to_numpy(zero_copy_only=False) for c in (scores, parts))
+            sizes, dims = np.diff(starts), np.diff(v_at)
+            for n, d in {(int(n), int(d)) for n, d in zip(sizes, dims) if n}:
+                people = np.flatnonzero((sizes == n) & (dims == d))
+                for at in range(0, len(people), AT_ONCE):
+                    some = people[at : at + AT_ONCE]
+                    mine = s[s_at[some][:, None] + np.arange(n)]
+                    chosen = choose(mine, v[v_at[some][:, None] + np.arange(d)].reshape(len(some), n, -1))
+                    k = chosen.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("uuid").take(pa.array(np.repeat(some, k))), items.values.take(pa.array((starts[some][:, None] + chosen).ravel())),
+                         pa.array(np.take_along_axis(mine, chosen, axis=1).ravel()), pa.array(np.tile(np.arange(1, k + 1), len(some)), pa.int32())],
+                        names=["uuid", "item", "score", "rnk"],
+                    )
+
+    return _held(lists, vectors).mapInArrow(run, LIST_SCHEMA)
 
 
 def mmr(lists: DataFrame, vectors: DataFrame, lam: float = 0.7, k: int = 10) -> DataFrame:
-    return _rerank(lists, vectors, lambda s, v: greedy_mmr(s, v, lam, k))
+    return _rerank(lists, vectors, lambda s, v: greedy_mmr_many(s, v, lam, k))
 
 
 def mmr_each(lists: DataFrame, vectors: DataFrame, lambdas, k: int = 10) -> DataFrame:
@@ -94,12 +136,6 @@ def mmr_each(lists: DataFrame, vectors: DataFrame, lambdas, k: int = 10) -> Data
 
     A person's rows meet once for all lambdas, and a task goes through persons in Arrow batches.
     """
-    rows = join_measured(lists.select("uuid", "item", "score", "rnk"), vectors.select("item", "embedding"), "item", "uuid")
-    held = rows.groupBy("uuid").agg(F.sort_array(F.collect_list(F.struct("rnk", "item", "score", "embedding"))).alias("rows"))
-    flat = held.select(
-        "uuid", F.col("rows.item").alias("items"), F.col("rows.score").cast("array<double>").alias("scores"),
-        F.flatten(F.col("rows.embedding")).cast("array<double>").alias("vectors"),
-    )
     wanted = np.array(lambdas, dtype="float64")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +159,11 @@ def mmr_each(lists: DataFrame, vectors: DataFrame, lambdas, k: int = 10) -> Data
                     names=["at", "uuid", "item", "rnk"],
                 )
 
-    return flat.mapInArrow(run, "at int, uuid string, item string, rnk int")
+    return _held(lists, vectors).mapInArrow(run, "at int, uuid string, item string, rnk int")
 
 
 def dpp(lists: DataFrame, vectors: DataFrame, theta: float = 0.5, k: int = 10) -> DataFrame:
-    return _rerank(lists, vectors, lambda s, v: greedy_dpp(s, v, theta, k))
+    return _rerank(lists, vectors, lambda s, v: np.array([greedy_dpp(a, b, theta, k) for a, b in zip(s, v)]))
 
 
 def list_diversity(lists: DataFrame, vectors: DataFrame, dim: int, k: int) -> DataFrame:

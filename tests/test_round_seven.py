@@ -5,9 +5,10 @@ import random
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from popgraph.operators import leakage, ranker
+from popgraph.operators import diversity, leakage, ranker
 from popgraph.plans import learning_plans  # noqa: F401
 from popgraph.plans.registry import PLANS
 
@@ -59,3 +60,25 @@ def test_largest_cosine_is_searched_behind_the_guess(spark, monkeypatch):
     texts = [("ab"[i % 2], i, " ".join(f"w{rng.randrange(60)}" for _ in range(12))) for i in range(60)]
     got = leakage.tfidf_overlap(spark.createDataFrame(texts, "side string, key int, text string")).first()
     assert abs(got["max_cosine"] - max(cosines(texts))) < 1e-8
+
+
+def test_reranking_takes_many_lists_at_once(spark, monkeypatch):
+    """Lists of one length are reranked together, with the picks of one list at a time; no group is handed over as pandas."""
+    rng, many = np.random.default_rng(8), diversity.greedy_mmr_many
+    monkeypatch.setattr(diversity, "AT_ONCE", 3)
+    vectors = {f"i{i:02d}": (np.eye(5)[rng.integers(0, 5)] if i % 7 else np.zeros(5)).tolist() for i in range(30)}
+    rows, want, dpp = [], set(), set()
+    for u in range(25):
+        picks = rng.permutation(30)[: 1 + u % 4 * 6]
+        own = [(f"u{u}", f"i{i:02d}", float(rng.integers(0, 4)) / 4, n + 1) for n, i in enumerate(picks)]
+        rows += own
+        s, v = np.array([r[2] for r in own]), np.array([vectors[r[1]] for r in own])
+        want |= {(f"u{u}", own[i][1], own[i][2], n + 1) for n, i in enumerate(diversity.greedy_mmr(s, v, 0.5, 10))}
+        dpp |= {(f"u{u}", own[i][1], own[i][2], n + 1) for n, i in enumerate(diversity.greedy_dpp(s, v, 0.5, 10))}
+    lists = spark.createDataFrame(rows, "uuid string, item string, score double, rnk int")
+    items = spark.createDataFrame(list(vectors.items()), "item string, embedding array<double>")
+    reranked = diversity.mmr(lists, items, 0.5, 10)
+    assert "FlatMapGroups" not in reranked._jdf.queryExecution().toString()
+    assert {tuple(r) for r in reranked.collect()} == want and {tuple(r) for r in diversity.dpp(lists, items, 0.5, 10).collect()} == dpp
+    scores, held = np.array([[0.9, 0.8, 0.8], [0.1, 0.2, 0.2]]), np.stack([np.eye(3)[[0, 0, 1]]] * 2)
+    assert many(scores, held, 0.5, 2).tolist() == [diversity.greedy_mmr(s, v, 0.5, 2) for s, v in zip(scores, held)]
