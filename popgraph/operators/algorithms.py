@@ -188,19 +188,20 @@ def betweenness(adj: DataFrame, sampling_size: int, seed: int = 42) -> DataFrame
     return g.nodes.select("node").join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
 
 
-def random_sign_vector(node, dim: int, scale: float):
-    """Sparse start vector from a hash of node and position: + and - with probability 1/6 each."""
+def random_sign_vector(node, dim: int, scale: float, first: int = 0):
+    """Sparse start vector from a hash of node and position, `dim` of them from `first` on: + and - with probability 1/6 each."""
     def element(i):
         h = F.substring(F.md5(F.concat_ws(":", node, i.cast("string"))), 1, 4)
         return F.when(h < "2aaa", F.lit(scale)).when(h >= "d555", F.lit(-scale)).otherwise(F.lit(0.0))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), element)
+    return F.transform(F.sequence(F.lit(first), F.lit(first + dim - 1)), element)
 
 
 def fastrp(adj: DataFrame, dim: int = 256, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """Random projection smoothed over neighbours, unit length per round, weighted sum of the rounds."""
     g = BlockGraph(adj, dim)
-    state, kept = g.packed(by_key(g.nodes.select("node"), "node").select("node", random_sign_vector(F.col("node"), dim, 3.0**0.5).alias("v"))), []
+    spread_nodes = by_key(g.nodes.select("node"), "node")
+    state, kept = g.packed_slices(lambda lo, n: spread_nodes.select("node", random_sign_vector(F.col("node"), n, 3.0**0.5, lo).alias("v"))), []
     for w in weights:
         state = g.sums(state)
         if w:

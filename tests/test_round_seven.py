@@ -8,7 +8,9 @@ from types import SimpleNamespace
 import numpy as np
 from pyspark.sql import functions as F
 
-from popgraph.operators import diversity, leakage, ranker
+from popgraph.operators import algorithms as algo
+from popgraph.operators import blocks, diversity, leakage, ranker
+from popgraph.operators.blocks import BlockGraph
 from popgraph.plans import learning_plans  # noqa: F401
 from popgraph.plans.registry import PLANS
 
@@ -82,3 +84,38 @@ def test_reranking_takes_many_lists_at_once(spark, monkeypatch):
     assert {tuple(r) for r in reranked.collect()} == want and {tuple(r) for r in diversity.dpp(lists, items, 0.5, 10).collect()} == dpp
     scores, held = np.array([[0.9, 0.8, 0.8], [0.1, 0.2, 0.2]]), np.stack([np.eye(3)[[0, 0, 1]]] * 2)
     assert many(scores, held, 0.5, 2).tolist() == [diversity.greedy_mmr(s, v, 0.5, 2) for s, v in zip(scores, held)]
+
+
+def test_sliced_neighbour_sums(spark):
+    """Vectors cut into slices give the sums of whole vectors, and a pass moves no edge."""
+    rng, n, dim = np.random.default_rng(9), 24, 7
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (60, 2)) if a != b} | {(0, i) for i in range(1, n)}
+    rows = [(str(x), str(y)) for a, b in sorted(links) for x, y in ((a, b), (b, a))]
+    start = {str(i): (rng.normal(size=dim) if i % 5 else np.zeros(dim)) for i in range(n)}
+    adj = spark.createDataFrame(rows, "src string, dst string")
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in start.items()], "node string, v array<double>")
+    got = []
+    for width in (7, 3):
+        g = BlockGraph(adj, dim, piece_edges=9, into_edges=20, block_rows=5, width=width)
+        first = g.sums(g.packed(frame))
+        assert len(first.slices) == -(-dim // width)
+        out = g.unpacked([(2.0, first), (0.5, g.sums(first))]).collect()
+        got.append({r["node"]: np.array(r["embedding"]) for r in out})
+    assert set(got[0]) == set(start)
+    assert all(np.allclose(got[0][k], other[k], atol=1e-12) for other in got[1:] for k in start)
+    one = {k: sum((start[a] for a, b in rows if b == k), np.zeros(dim)) for k in start}
+    one = {k: v / np.linalg.norm(v) for k, v in one.items()}
+    two = {k: sum((one[a] for a, b in rows if b == k), np.zeros(dim)) for k in start}
+    assert all(np.allclose(got[0][k], 2 * one[k] + 0.5 * two[k] / np.linalg.norm(two[k])) for k in start)
+
+
+def test_a_large_graph_is_cut_into_slices(spark, monkeypatch):
+    adj = spark.createDataFrame([(str(a), str(b)) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))], "src string, dst string")
+    assert len(BlockGraph(adj, 96).cuts) == 1
+    monkeypatch.setattr(blocks, "PASS_BYTES", 4 * 96 * 8 // 2)
+    assert BlockGraph(adj, 96).cuts == [(0, 48), (48, 48)]
+    monkeypatch.setattr(blocks, "PASS_BYTES", 1)
+    assert BlockGraph(adj, 96).cuts == [(0, 32), (32, 32), (64, 32)]
+    wide = {r["node"]: r["embedding"] for r in algo.fastrp(adj, 96).collect()}
+    monkeypatch.setattr(blocks, "PASS_BYTES", 1 << 30)
+    assert all(np.allclose(wide[r["node"]], r["embedding"]) for r in algo.fastrp(adj, 96).collect())
