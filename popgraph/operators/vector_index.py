@@ -30,6 +30,7 @@ MAX_LISTS = 1024
 CODE_WORDS = 256
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+ASKED_ROWS = 1 << 14  # rows of queries and lists that a task holds at a time
 HITS = "query string, uuid string, score double"
 
 
@@ -104,6 +105,18 @@ def read_model(spark: SparkSession, path: str) -> Model:
     return Model(found[0], found[1:])
 
 
+def _asked(batches: Iterator[pd.DataFrame], model: Model, probe: int) -> Iterator[pd.DataFrame]:
+    """A row per query and one of its `probe` nearest lists, ASKED_ROWS at most at a time."""
+    step = max(1, ASKED_ROWS // len(model.centres))
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            piece = pdf.iloc[at : at + step]
+            q = _unit(_matrix(piece["embedding"]))
+            far = (model.centres**2).sum(1)[None, :] - 2 * q @ model.centres.T
+            own = np.argsort(far, axis=1, kind="stable")[:, :probe]
+            yield pd.DataFrame({"query": np.repeat(piece["query"].to_numpy(), probe), "v": [q[i] for i in np.repeat(np.arange(len(q)), probe)], "list": own.ravel()})
+
+
 def search_index(
     spark: SparkSession, path: str, queries: DataFrame, k: int, n_probe: int | None = None, rerank: int | None = None,
     block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
@@ -116,16 +129,7 @@ def search_index(
     probe = min(n_probe or len(model.centres), len(model.centres))
     parts = model.parts()
 
-    def lists_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            q = _unit(_matrix(pdf["embedding"]))
-            far = (model.centres**2).sum(1)[None, :] - 2 * q @ model.centres.T
-            own = np.argsort(far, axis=1, kind="stable")[:, :probe]
-            yield pd.DataFrame({"query": np.repeat(pdf["query"].to_numpy(), probe), "v": [q[i] for i in np.repeat(np.arange(len(q)), probe)], "list": own.ravel()})
-
-    asked = queries.select(F.col("query").cast("string"), F.col("embedding").cast("array<double>")).mapInPandas(lists_of, "query string, v array<double>, list int")
+    asked = queries.select(F.col("query").cast("string"), F.col("embedding").cast("array<double>")).mapInPandas(lambda batches: _asked(batches, model, probe), "query string, v array<double>, list int")
     asked = cut_lineage(asked)
     chunks = salted_counts(asked, ["list"], query_rows).withColumnRenamed("n_salts", "chunks")
     wanted = {r["list"]: r["chunks"] for r in chunks.collect()}  # at most MAX_LISTS rows

@@ -6,10 +6,11 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from popgraph.operators import algorithms as algo
-from popgraph.operators import blocks, diversity, leakage, ranker
+from popgraph.operators import blocks, diversity, leakage, ranker, vector_index
 from popgraph.operators.blocks import BlockGraph
 from popgraph.plans import learning_plans  # noqa: F401
 from popgraph.plans.registry import PLANS
@@ -119,3 +120,16 @@ def test_a_large_graph_is_cut_into_slices(spark, monkeypatch):
     wide = {r["node"]: r["embedding"] for r in algo.fastrp(adj, 96).collect()}
     monkeypatch.setattr(blocks, "PASS_BYTES", 1 << 30)
     assert all(np.allclose(wide[r["node"]], r["embedding"]) for r in algo.fastrp(adj, 96).collect())
+
+
+def test_queries_of_an_index_are_listed_piece_by_piece(monkeypatch):
+    """A batch of queries never becomes a row per query and list at once."""
+    rng = np.random.default_rng(10)
+    model = vector_index.Model(rng.normal(size=(12, 4)), [])
+    batch = pd.DataFrame({"query": [f"q{i}" for i in range(50)], "embedding": rng.normal(size=(50, 4)).tolist()})
+    whole = pd.concat(vector_index._asked(iter([batch, batch[:0]]), model, 8), ignore_index=True)
+    monkeypatch.setattr(vector_index, "ASKED_ROWS", 100)
+    pieces = list(vector_index._asked(iter([batch, batch[:0]]), model, 8))
+    assert max(map(len, pieces)) <= 100 and len(whole) == 400
+    cut = pd.concat(pieces, ignore_index=True)
+    assert cut[["query", "list"]].equals(whole[["query", "list"]]) and np.allclose(np.stack(cut["v"]), np.stack(whole["v"]))
